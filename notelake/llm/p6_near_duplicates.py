@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from notelake import runtime
 from notelake.functions.text_size import size_of
 from notelake.llm import shingles
-from notelake.llm.tables import items_of
 
 
 @dataclass(frozen=True)
@@ -69,10 +68,26 @@ def band_hashes(signatures: np.ndarray, c: NearDuplicateConfig) -> np.ndarray:
     return h.view(np.int64)
 
 
+def sketches(signatures: np.ndarray) -> np.ndarray:
+    """(n, words) of the coordinates' lowest bits, 64 to a word."""
+    n, k = signatures.shape
+    bits = np.zeros((n, -(-k // 64) * 64), np.uint8)
+    bits[:, :k] = signatures & 1
+    return np.packbits(bits, axis=1).view(">i8").astype(np.int64)
+
+
+def _most_differing(c: NearDuplicateConfig) -> int:
+    """Sketch bits that a pair at the threshold exceeds with a chance below 0.001."""
+    k = c.bands * c.rows
+    p = (1 - c.threshold) / 2
+    return int(k * p + 3.2 * (k * p * (1 - p)) ** 0.5) + 1
+
+
 def similar_texts(texts: DataFrame, c: NearDuplicateConfig = NearDuplicateConfig()) -> DataFrame:
     """texts(text_id LONG unique, kind STRING, content) -> (id_a, id_b, similarity), id_a < id_b, one kind."""
     spark = texts.sparkSession
     runtime.ship(spark)
+    words = -(-c.bands * c.rows // 64)
 
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -82,19 +97,27 @@ def similar_texts(texts: DataFrame, c: NearDuplicateConfig = NearDuplicateConfig
                 keep = [i for i, s in enumerate(sets) if len(s)]
                 if not keep:
                     continue
-                bands = band_hashes(circulant_signatures([sets[i] for i in keep], c), c)
-                yield pd.DataFrame({"text_id": g["text_id"].to_numpy()[keep], "kind": g["kind"].to_numpy()[keep], "bands": list(bands)})
+                signatures = circulant_signatures([sets[i] for i in keep], c)
+                yield pd.DataFrame({
+                    "text_id": g["text_id"].to_numpy()[keep], "kind": g["kind"].to_numpy()[keep],
+                    "bands": list(band_hashes(signatures, c).astype(np.int32)), "sketch": list(sketches(signatures)),
+                })
 
+    texts = runtime.cut(texts.select("text_id", "kind", "content"))
     signed = runtime.cut(
-        texts.select("text_id", "kind", "content").repartition(runtime.slots(spark))
-        .mapInPandas(sign, "text_id long, kind string, bands array<long>")
+        texts.mapInPandas(sign, "text_id long, kind string, bands array<int>, sketch array<long>")
+        .withColumn("row", F.monotonically_increasing_id())
     )
-    rows = signed.select("text_id", F.explode("bands").alias("band"), "kind").select("text_id", F.xxhash64("band", "kind").alias("band"))
-    shared = rows.groupBy("band").agg(F.min("text_id").alias("lo"), F.max("text_id").alias("hi")).where("lo < hi").select("band")
-    members = runtime.cut(rows.join(shared, "band", "left_semi"))
+    # 32-bit band hashes and dense row numbers keep the one large shuffle small; hashes that meet by chance are verified away.
+    rows = signed.select("row", F.explode("bands").alias("band"))
+    shared = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    sketch = signed.select("row", "text_id", "kind", "sketch")
+    members = runtime.cut(rows.join(shared, "band", "left_semi").join(sketch, "row").drop("row"))
     a, b = members.alias("a"), members.alias("b")
+    differing = sum((F.bit_count(F.col("a.sketch")[k].bitwiseXOR(F.col("b.sketch")[k])) for k in range(words)), F.lit(0))
     candidates = runtime.cut(
-        a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.text_id") < F.col("b.text_id")))
+        a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.kind") == F.col("b.kind")) & (F.col("a.text_id") < F.col("b.text_id")))
+        .where(differing <= _most_differing(c))
         .select(F.col("a.text_id").alias("id_a"), F.col("b.text_id").alias("id_b")).distinct()
     )
     wanted = candidates.select(F.col("id_a").alias("text_id")).union(candidates.select("id_b")).distinct()
@@ -119,12 +142,25 @@ def similar_texts(texts: DataFrame, c: NearDuplicateConfig = NearDuplicateConfig
     return joined.mapInPandas(verify, "id_a long, id_b long, similarity double")
 
 
-def _classes(items: DataFrame, c: NearDuplicateConfig) -> DataFrame:
-    """(item_kind, item_id, text_id, content) of items that take part; text_id is one per kind and text."""
-    return (
-        items.where("content is not null").where(size_of(F.col("content")) >= c.least_size)
-        .withColumn("text_id", F.xxhash64("item_kind", F.sha2("content", 256)))
+def _taking_part(notes: DataFrame, chunks: DataFrame, c: NearDuplicateConfig) -> tuple[DataFrame, DataFrame]:
+    """Members (item_kind, item_id, text_id), one row per item, and texts (text_id, kind, content), one per text.
+
+    Texts are named by a hash before any shuffle, so the contents themselves move once.
+    """
+    states = notes.where("note_id is not null").select(
+        F.lit("note").alias("item_kind"), F.col("note_id").cast("string").alias("item_id"), "content",
+        F.coalesce(F.col("updated_at").cast("timestamp"), F.lit("0001-01-01").cast("timestamp")).alias("at"),
+    ).unionByName(chunks.where("chunk_id is not null").select(
+        F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), "content", F.lit("0001-01-01").cast("timestamp").alias("at"),
+    ))
+    large = F.col("content").isNotNull() & (size_of(F.col("content")) >= c.least_size)
+    states = states.withColumn("text_id", F.when(large, F.xxhash64("item_kind", F.sha2("content", 256))))
+    members = (
+        states.groupBy("item_kind", "item_id").agg(F.max(F.struct("at", "text_id")).alias("s"))
+        .select("item_kind", "item_id", F.col("s.text_id").alias("text_id")).where("text_id is not null")
     )
+    texts = states.where("text_id is not null").groupBy("text_id").agg(F.first("item_kind").alias("kind"), F.first("content").alias("content"))
+    return runtime.cut(members), texts
 
 
 def _before(kind: Column, a: Column, b: Column) -> Column:
@@ -138,12 +174,10 @@ def _representative() -> Column:
     ).otherwise(F.min("item_id")).alias("rep")
 
 
-def near_duplicate_pairs(items: DataFrame, c: NearDuplicateConfig = NearDuplicateConfig()) -> DataFrame:
-    """items(item_kind, item_id STRING, content), ids distinct by kind -> (item_kind, item_id_a, item_id_b)."""
-    members = runtime.cut(_classes(items, c))
-    texts = members.groupBy("text_id").agg(F.first("item_kind").alias("kind"), F.first("content").alias("content"))
+def near_duplicate_pairs(notes: DataFrame, chunks: DataFrame, c: NearDuplicateConfig = NearDuplicateConfig()) -> DataFrame:
+    """(item_kind, item_id_a, item_id_b) of similar notes and of similar chunks."""
+    ids, texts = _taking_part(notes, chunks, c)
     pairs = runtime.cut(similar_texts(texts, c))
-    ids = members.select("text_id", "item_kind", "item_id")
     reps = ids.groupBy("text_id").agg(_representative())
     copies = ids.join(reps, "text_id").where("item_id <> rep").select("item_kind", F.col("item_id").alias("x"), F.col("rep").alias("y"))
     both = pairs.select("id_a", "id_b").union(pairs.select("id_b", "id_a")).toDF("text_id", "other")
@@ -184,13 +218,12 @@ def components(links: DataFrame, ids: DataFrame, most_rounds: int = 60) -> DataF
     return ids.join(roots, "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"))
 
 
-def near_duplicate_groups(items: DataFrame, c: NearDuplicateConfig = NearDuplicateConfig()) -> DataFrame:
+def near_duplicate_groups(notes: DataFrame, chunks: DataFrame, c: NearDuplicateConfig = NearDuplicateConfig()) -> DataFrame:
     """(item_kind, item_id, group_id STRING, n_links): one row per item that takes part.
 
     n_links counts the similar different texts; copies share the row's group. group_id names a class of texts.
     """
-    members = runtime.cut(_classes(items, c))
-    texts = members.groupBy("text_id").agg(F.first("item_kind").alias("kind"), F.first("content").alias("content"))
+    members, texts = _taking_part(notes, chunks, c)
     pairs = runtime.cut(similar_texts(texts, c))
     group = components(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), members.select(F.col("text_id").alias("id")).distinct())
     degree = pairs.select("id_a").union(pairs.select("id_b")).toDF("id").groupBy("id").agg(F.count("*").alias("n_links"))
@@ -198,13 +231,9 @@ def near_duplicate_groups(items: DataFrame, c: NearDuplicateConfig = NearDuplica
     return members.select("text_id", "item_kind", "item_id").join(labelled, "text_id").drop("text_id")
 
 
-def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items_of(runtime.read(spark, sf_dir, "notes"), runtime.read(spark, sf_dir, "chunks"))
-
-
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_pairs(_items(spark, sf_dir))
+    return near_duplicate_pairs(runtime.read(spark, sf_dir, "notes"), runtime.read(spark, sf_dir, "chunks"))
 
 
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_groups(_items(spark, sf_dir))
+    return near_duplicate_groups(runtime.read(spark, sf_dir, "notes"), runtime.read(spark, sf_dir, "chunks"))
