@@ -35,7 +35,7 @@ class SpamConfig:
     deviations: float = 3.0      # standard deviations from prose that are abnormal
     crowd: int = 4               # occurrences among the 80 content words around that make a word a keyword
     label: float = 0.7           # share of its occurrences by a number or at line starts that makes a word a label
-    cause: float = 0.4           # share of keywords, addresses and tags that explains a window
+    cause: float = 0.3           # share of keywords, addresses and tags that explains a window
     most: float = 0.5            # share of a page's signs in such windows that makes it spam
 
 
