@@ -26,6 +26,10 @@ from notelake.functions.text_size import size_of
 from notelake.llm import shingles
 
 
+# The blank code points of the size estimate, and U+3000.
+BLANKS = " \u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u202f\u205f\u3000\t\n\x0b\x0c\r\x85\u2028\u2029"
+
+
 @dataclass(frozen=True)
 class NearDuplicateConfig:
     width: int = 8            # code points per shingle
@@ -41,21 +45,16 @@ def circulant_signatures(sets: list[np.ndarray], c: NearDuplicateConfig) -> np.n
     """(len(sets), bands * rows) coordinates: min over s of pi[(sigma(s) + k) mod D]. No set may be empty."""
     size, k = 1 << c.domain_bits, c.bands * c.rows
     pi = np.random.default_rng(c.seed).permutation(size).astype(np.int32)
-    pi = np.concatenate([pi, pi[:k]])  # so that a shift is a view
-    # sigma: shingle hashes are uniform, so their low bits already scatter them over the domain.
+    # Row s of the view is pi at s, s + 1, ..., s + k - 1: all shifts of one shingle lie side by side in memory.
+    shifts = np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[:k]]), k)
     out = np.empty((len(sets), k), np.int32)
-    start = 0
-    while start < len(sets):
-        end, total = start, 0
-        while end < len(sets) and (end == start or total + len(sets[end]) <= 120_000):
-            total += len(sets[end])
-            end += 1
-        flat = np.concatenate(sets[start:end])
-        at = (flat & np.uint64(size - 1)).astype(np.intp)
-        offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets[start:end]])[:-1]])
-        for j in range(k):
-            out[start:end, j] = np.minimum.reduceat(pi[j:].take(at), offsets)
-        start = end
+    for i, s in enumerate(sets):
+        # sigma: shingle hashes are uniform, so their low bits already scatter them over the domain.
+        at = (s & np.uint64(size - 1)).astype(np.intp)
+        low = shifts[at[:2048]].min(axis=0)
+        for start in range(2048, len(at), 2048):
+            np.minimum(low, shifts[at[start:start + 2048]].min(axis=0), out=low)
+        out[i] = low
     return out
 
 
@@ -103,7 +102,6 @@ def similar_texts(texts: DataFrame, c: NearDuplicateConfig = NearDuplicateConfig
                     "bands": list(band_hashes(signatures, c).astype(np.int32)), "sketch": list(sketches(signatures)),
                 })
 
-    texts = runtime.cut(texts.select("text_id", "kind", "content"))
     signed = runtime.cut(
         texts.mapInPandas(sign, "text_id long, kind string, bands array<int>, sketch array<long>")
         .withColumn("row", F.monotonically_increasing_id())
@@ -153,13 +151,14 @@ def _taking_part(notes: DataFrame, chunks: DataFrame, c: NearDuplicateConfig) ->
     ).unionByName(chunks.where("chunk_id is not null").select(
         F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), "content", F.lit("0001-01-01").cast("timestamp").alias("at"),
     ))
-    large = F.col("content").isNotNull() & (size_of(F.col("content")) >= c.least_size)
-    states = states.withColumn("text_id", F.when(large, F.xxhash64("item_kind", F.sha2("content", 256))))
-    members = (
-        states.groupBy("item_kind", "item_id").agg(F.max(F.struct("at", "text_id")).alias("s"))
-        .select("item_kind", "item_id", F.col("s.text_id").alias("text_id")).where("text_id is not null")
-    )
-    texts = states.where("text_id is not null").groupBy("text_id").agg(F.first("item_kind").alias("kind"), F.first("content").alias("content"))
+    # A size is at most the length and at least a quarter of the code points that are not blank; only between it is counted.
+    text = F.col("content")
+    visible = F.length(F.translate(text, BLANKS, ""))
+    large = F.when(F.length(text) < c.least_size, F.lit(False)).when(visible >= 4 * c.least_size, F.lit(True)).otherwise(size_of(text) >= c.least_size)
+    states = states.where("content is not null").withColumn("text_id", F.xxhash64("item_kind", F.sha2("content", 256)))
+    latest = states.groupBy("item_kind", "item_id").agg(F.max(F.struct("at", "text_id")).alias("s"))
+    texts = runtime.cut(states.where(large).groupBy("text_id").agg(F.first("item_kind").alias("kind"), F.first("content").alias("content")))
+    members = latest.select("item_kind", "item_id", F.col("s.text_id").alias("text_id")).join(texts.select("text_id"), "text_id", "left_semi")
     return runtime.cut(members), texts
 
 
