@@ -14,6 +14,7 @@ NEWLINE_CLASS = "\\n\\x0B\\f\\r\\x{85}\\x{2028}\\x{2029}"
 
 
 def cjk_class() -> str:
+    """Inside of a character class, for Java and RE2."""
     return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in CJK_RANGES)
 
 
