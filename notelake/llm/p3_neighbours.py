@@ -139,8 +139,8 @@ def class_neighbours(classes: DataFrame, c: NeighbourConfig = NeighbourConfig())
         return pd.concat(out) if out else pd.DataFrame({"cls": [], "other": [], "similarity": []})
 
     routed = classes.select("cls", "vec").mapInPandas(route, "shard int, role int, cls long, vec binary")
-    # One partition per shard or less: the graphs are the work, not the rows.
-    routed = routed.repartition(max(runtime.slots(spark), int(first[-1])), "shard")
+    # A range of shards per task, about one: hashing few shards to tasks would pile several on one.
+    routed = routed.repartitionByRange(max(runtime.slots(spark), int(first[-1])), "shard")
     found = routed.groupBy("shard").applyInPandas(search, "cls long, other long, similarity double")
     best = Window.partitionBy("cls").orderBy(F.desc("similarity"), "other")
     found = runtime.cut(found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= c.k + 3).drop("r"))
