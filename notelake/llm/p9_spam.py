@@ -162,6 +162,8 @@ def is_prose(classes: np.ndarray, c: SpamConfig) -> bool:
     words = classes >= _ID["new"]
     n = max(1, int(words.sum()))
     function = int((classes >= _FIRST_FUNCTION).sum()) + int((classes == _ID["kana"]).sum())
+    if np.isin(classes, (_ID["address"], _ID["tag"])).any():
+        return False  # an article's closing links would teach the model that links follow links
     return len(classes) >= 2 * c.window and function / n >= c.prose_function and int((classes == _ID["fresh"]).sum()) / n <= c.prose_fresh
 
 
