@@ -81,10 +81,38 @@ _MARKS = {**dict.fromkeys(".!?。！？…", _ID["stop"]), **dict.fromkeys(",、
 
 #: Marks of word breaks at line ends.
 _BREAK = re.compile(r"[-¬=­]\s*\n\s*")
-_TOKEN = re.compile(
-    r"(?P<address>(?:https?://|www\.)\S+|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,8}/\S*)|(?P<tag>[#＃]\w+)|(?P<number>\d[\d.,:½¼¾/]*\w*)"
-    r"|(?P<kana>[ぁ-ゟ]+)|(?P<word>[゠-ヿ]+|[㐀-鿿々]+|[^\W\d_ぁ-ヿ㐀-鿿]+(?:[-'’][^\W\d_ぁ-ヿ㐀-鿿]+)*)|(?P<line>\n)|(?P<mark>[^\w\s])"
+_ADDRESS = r"(?P<address>(?:https?://|www\.)\S+|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,8}/\S*)|(?P<tag>[#＃]\w+)|"
+_PLAIN = (
+    r"(?P<number>\d[\d.,:½¼¾/]*\w*)|(?P<kana>[ぁ-ゟ]+)"
+    r"|(?P<word>[゠-ヿ]+|[㐀-鿿々]+|[^\W\d_ぁ-ヿ㐀-鿿]+(?:[-'’][^\W\d_ぁ-ヿ㐀-鿿]+)*)|(?P<line>\n)|(?P<mark>[^\w\s])"
 )
+_TOKEN = re.compile(_ADDRESS + _PLAIN)
+_SPLIT, _SPLIT_PLAIN = (re.compile(re.sub(r"\(\?P<\w+>", "(?:", p)) for p in (_ADDRESS + _PLAIN, _PLAIN))
+#: A text without any of these has no address and no tag, so the plain pattern finds the same tokens.
+_LINKED = re.compile(r"[/#＃]|www\.")
+
+
+_CONTENT, _LINE = -1, -2
+_KNOWN: dict[str, int] = {}
+
+
+def _class_of(tok: str) -> int:
+    """Class of a token by its form; _CONTENT for content words, whose class depends on the page."""
+    kind = _TOKEN.match(tok).lastgroup
+    if kind == "line":
+        k = _LINE
+    elif kind == "word":
+        k = _FUNCTION.get(tok, _CONTENT)
+    elif kind == "kana":
+        k = _FUNCTION.get(tok, _ID["kana"])
+    elif kind == "mark":
+        k = _MARKS.get(tok, _ID["mark"])
+    else:
+        k = _ID[kind]
+    if len(_KNOWN) > 300_000:
+        _KNOWN.clear()
+    _KNOWN[tok] = k
+    return k
 
 
 def classify(text: str, c: SpamConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,35 +128,32 @@ def classify(text: str, c: SpamConfig) -> tuple[np.ndarray, np.ndarray, np.ndarr
     first_on_line: list[bool] = []
     number_at: list[tuple[int, str]] = []
     n_content, last_gap, new_line = 0, 0, True
-    mark, fresh, phrase, near, far, new = (_ID[k] for k in ("mark", "fresh", "phrase", "near", "far", "new"))
-    for m in _TOKEN.finditer(_BREAK.sub("", text.lower())):
-        kind, tok = m.lastgroup, m.group()
-        if kind == "line":
+    fresh, phrase, near, far, new = (_ID[k] for k in ("fresh", "phrase", "near", "far", "new"))
+    joined = _BREAK.sub("", text.lower())
+    split = _SPLIT if _LINKED.search(joined) else _SPLIT_PLAIN
+    number = _ID["number"]
+    for tok in split.findall(joined):
+        k = _KNOWN.get(tok)
+        if k is None:
+            k = _class_of(tok)
+        if k == _CONTENT:
+            seen = at.setdefault(tok, [])
+            gap = n_content - order[seen[-1]] if seen else 10_000
+            if gap <= c.near:
+                # A whole phrase that returns (a refrain) repeats word after word at one distance.
+                k = phrase if gap == last_gap and gap > 3 else fresh
+            elif gap <= 40:
+                k = phrase if gap == last_gap else near
+            else:
+                k = far if gap < 10_000 else new
+            seen.append(len(classes))
+            last_gap = gap
+            n_content += 1
+        elif k == _LINE:
             new_line = True
             continue
-        if kind == "word":
-            k = _FUNCTION.get(tok)
-            if k is None:
-                seen = at.setdefault(tok, [])
-                gap = n_content - order[seen[-1]] if seen else 10_000
-                if gap <= c.near:
-                    # A whole phrase that returns (a refrain) repeats word after word at one distance.
-                    k = phrase if gap == last_gap and gap > 3 else fresh
-                elif gap <= 40:
-                    k = phrase if gap == last_gap else near
-                else:
-                    k = far if gap < 10_000 else new
-                seen.append(len(classes))
-                last_gap = gap
-                n_content += 1
-        elif kind == "kana":
-            k = _FUNCTION.get(tok, _ID["kana"])
-        elif kind == "mark":
-            k = _MARKS.get(tok, mark)
-        else:
-            k = _ID[kind]
-            if kind == "number":
-                number_at.append((len(classes), tok))
+        elif k == number:
+            number_at.append((len(classes), tok))
         classes.append(k)
         lengths.append(len(tok))
         order.append(n_content - 1)
