@@ -75,6 +75,10 @@ def checked(text: str, start: int, end: int, kind: str) -> tuple[int, int] | Non
         while start and piece[0].isascii() and piece[0].isalpha() and text[start - 1].isascii() and text[start - 1].isalpha():
             start -= 1
             piece = text[start:start + len(piece) + 1]
+        initial = re.search(r"(?<![A-Za-z])[A-Z]\. $", text[max(0, start - 4):start])
+        if initial and piece[0].isascii():
+            start -= 3
+            piece = text[start:start + len(piece) + 3]
         if piece.endswith(".") and not re.search(r"\b[A-Z]\.$", piece):
             piece = piece[:-1]
     else:
