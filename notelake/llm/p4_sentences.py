@@ -5,7 +5,7 @@ list numbers, trailing-off dots) are masked by private-use placeholders of the s
 text is tiled by one regular expression with the terminators of all scripts; quoted speech and
 brackets count as one unit. As masks keep lengths, the pieces' positions restore the text.
 
-Null, empty and blank texts have no sentences. A line without a terminator is one sentence. Repeated
+Thai statements are closed by a blank between Thai letters. Null, empty and blank texts have no sentences. A line without a terminator is one sentence. Repeated
 rows of a note count once; further columns don't matter; empty tables give an empty result.
 """
 
@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 from notelake import runtime
 from notelake.llm.tables import distinct_notes
 
-MASK = ""
+MASK = "\ue000"
+#: Stands for a blank that closes a statement in Thai, which has no terminators.
+CLOSE = "\ue001"
 NL = r"\n\x0B\f\r\x{85}\x{2028}\x{2029}"
-TERM = ".!?。！？．｡…؟۔।॥"
+TERM = ".!?。！？．｡…؟۔।॥" + CLOSE
 BLANK = r"[\p{Zs}\t]"
 
 # Abbreviations that never end a sentence, whatever follows.
@@ -93,10 +95,14 @@ SENTENCE = (
 )
 
 
+#: A blank between Thai letters; those beside numbers and other scripts close nothing.
+THAI_CLOSE = rf"{BLANK}(?<=[\x{{E00}}-\x{{E7F}}]{BLANK}{{1,4}})(?={BLANK}{{0,3}}[\x{{E00}}-\x{{E7F}}])"
+
+
 def masked(text: Column) -> Column:
     for pattern in MASKS:
         text = F.regexp_replace(text, pattern, MASK)
-    return text
+    return F.regexp_replace(text, THAI_CLOSE, CLOSE)
 
 
 def sentences(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -108,8 +114,8 @@ def sentences(texts: DataFrame, key: str, text: str) -> DataFrame:
         .select(key, "_text", F.posexplode("_p").alias("_i", "_s"))
     )
     before = Window.partitionBy(key).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
-    lead = F.length(F.regexp_extract("_s", r"^[\s\p{Z}]*", 0))
-    body = F.length(F.regexp_replace("_s", r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
+    lead = F.length(F.regexp_extract("_s", rf"^[\s\p{{Z}}\x{{85}}{CLOSE}]*", 0))
+    body = F.length(F.regexp_replace("_s", rf"^[\s\p{{Z}}\x{{85}}{CLOSE}]+|[\s\p{{Z}}\x{{85}}{CLOSE}]+$", ""))
     at = tiled.withColumn("_at", F.coalesce(F.sum(F.length("_s")).over(before), F.lit(0))).where(body > 0)
     return at.select(
         key, (F.col("_at") + lead).cast("long").alias("start_pos"), (F.col("_at") + lead + body).cast("long").alias("end_pos"),

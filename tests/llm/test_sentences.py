@@ -21,6 +21,7 @@ CASES = [
     ["“停下。把书架拿走。”委员会说。", "读数从97.5升到11.4。"],
     ['"रुको। साइकिल ले जाओ।" नाविक ने कहा।', "डॉ. साहब ने टोकरी देखी।"],
     ["«توقف. خذ السلم معك» قال النجار.", "هل أعاد الفريق الحقيبة؟", "رأى د. الضيف القارب."],
+    ["กัปตันย้ายโซฟา 38 อันเมื่อวันจันทร์", "เพื่อนบ้านซ่อมปั๊มน้ำว่างหรือยังครับ", "ค่าเพิ่มจาก 49.7 เป็น 51.2 ก่อนพายุ"],
     ["My page is www.a.example/x.html?id=4 today.", "Write to A.LEE@B.EXAMPLE now.", "Version 4.1.2 is in notes.v2.txt."],
 ]
 
