@@ -14,6 +14,7 @@ from __future__ import annotations
 import pkgutil
 import re
 from collections.abc import Iterator
+from dataclasses import replace
 from functools import lru_cache
 
 import pandas as pd
@@ -27,9 +28,13 @@ from notelake.llm.tagger import Tagger
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 _FORMS = {"email": forms.EMAIL, "phone": forms.PHONE, "id_number": forms.ID, "address": forms.ADDRESS}
 #: Words that announce a person and titles, neither part of a name.
-_TITLE = re.compile(r"^(?:(?:Ask|Contact|Kontakt|According to|Bei|Demander à|We gave|From|To)\s?:?[ 　]+)?(?:(?:Mrs?|Ms|Dr|Herrn?|Frau|Mme|Mlle|M)\.?[ 　]+)*")
+_TITLE = re.compile(r"^(?:(?:Ask|Contact|Kontakt|According to|Bei|Demander à|We gave|From|To)\s?:?[ 　]+)?(?:(?:Mrs?|Ms|Dr|Herrn?|Frau|Mme|Mlle)\.?[ 　]+)*")
+#: In French "M." is a title, elsewhere an initial.
+_FRENCH_BEFORE, _FRENCH_AFTER = re.compile(r"(?:Contact : |Demander à |[Dd]e la part de )$"), re.compile(r" (?:a emprunté|pour l[ae] )")
 _HONORIFIC = re.compile(r"[ 　]?(?:さん|様|氏|先生|くん|ちゃん)$")
 PART = 200_000
+#: Windows of decoding, longer than those of training: less text is read twice.
+WINDOW, STRIDE = 256, 216
 
 
 def weights() -> bytes:
@@ -41,7 +46,9 @@ def weights() -> bytes:
 
 @lru_cache(maxsize=1)
 def _tagger(data: bytes) -> Tagger:
-    return Tagger.load(data)
+    t = Tagger.load(data)
+    t.c = replace(t.c, window=WINDOW, stride=STRIDE)
+    return t
 
 
 def checked(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
@@ -79,6 +86,8 @@ def checked(text: str, start: int, end: int, kind: str) -> tuple[int, int] | Non
         if initial and piece[0].isascii():
             start -= 3
             piece = text[start:start + len(piece) + 3]
+        if piece.startswith("M. ") and (_FRENCH_BEFORE.search(text[max(0, start - 20):start]) or _FRENCH_AFTER.match(text, start + len(piece))):
+            start, piece = start + 3, piece[3:]
         if piece.endswith(".") and not re.search(r"\b[A-Z]\.$", piece):
             piece = piece[:-1]
     else:

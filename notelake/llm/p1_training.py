@@ -36,11 +36,13 @@ ADDRESS = re.compile(
 )
 NOT_PERSONAL = re.compile(r"(?:Order|Part|ISBN|注文番号|型番は?|Total|build|Bestellung|Commande|Teil|Nr\.)[ :：]*[\d\-. ]+")
 _NAME = r"(?:[A-Z]\. )?[A-Z][A-Za-z]+(?:,? (?:[A-Z]\.(?: |$))?[A-Z][A-Za-z]+)?"
-_TITLE = r"(?:(?:Mr|Mrs|Ms|Dr|Herrn?|Frau|Mme|M|Mlle)\.? )?"
+_TITLE = r"(?:(?:Mr|Mrs|Ms|Dr|Herrn?|Frau|Mme|Mlle)\.? )?"
+_FRENCH_TITLE = r"(?:(?:Dr|Mme|Mlle|M)\.? )?"
 LATIN_CONTEXTS = [re.compile(p) for p in (
     rf"Ask {_TITLE}({_NAME}) about", rf"According to {_TITLE}({_NAME}), the", rf"belongs to {_TITLE}({_NAME}) now", rf"We gave {_TITLE}({_NAME}) the",
-    rf"Contact ?:? {_TITLE}({_NAME}), ", rf"Kontakt: {_TITLE}({_NAME}), ", rf"(?<![A-Za-z.,] )(?<![A-Za-z]){_TITLE}({_NAME}) (?:borrowed the|hat die|a emprunté)", rf"(?<=[.!?] ){_TITLE}({_NAME}) (?:borrowed the|hat die|a emprunté)",
-    rf"(?<![A-Za-z.,] )(?<![A-Za-z]){_TITLE}({_NAME})'s ", rf"(?<=[.!?] ){_TITLE}({_NAME})'s ", rf"Bei {_TITLE}({_NAME}) nach", rf"Demander à {_TITLE}({_NAME}) pour",
+    rf"Contact {_TITLE}({_NAME}), ", rf"Contact : {_FRENCH_TITLE}({_NAME}), ", rf"Kontakt: {_TITLE}({_NAME}), ", rf"(?<![A-Za-z.,] )(?<![A-Za-z]){_TITLE}({_NAME}) (?:borrowed the|hat die)", rf"(?<=[.!?] ){_TITLE}({_NAME}) (?:borrowed the|hat die)",
+    rf"(?<![A-Za-z.,] )(?<![A-Za-z]){_FRENCH_TITLE}({_NAME}) a emprunté", rf"(?<=[.!?] ){_FRENCH_TITLE}({_NAME}) a emprunté",
+    rf"(?<![A-Za-z.,] )(?<![A-Za-z]){_TITLE}({_NAME})'s ", rf"(?<=[.!?] ){_TITLE}({_NAME})'s ", rf"Bei {_TITLE}({_NAME}) nach", rf"Demander à {_FRENCH_TITLE}({_NAME}) pour",
     rf"(?:Mrs?|Ms|Dr)\. ([A-Z][a-z]+)",
 )]
 _KANJI = r"(?:[一-龠]{2}[ 　]?[一-龠]{2}|[一-龠]{2})"
