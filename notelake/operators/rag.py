@@ -38,6 +38,11 @@ def select_sources(hits: DataFrame, budget: int = 1500) -> DataFrame:
     return sized.where((F.col("total_tokens") <= budget) | (F.col("source_no") == 1))
 
 
+def used_hits(hits: DataFrame, selected: DataFrame) -> DataFrame:
+    """The hits that were selected, in their own order of rank."""
+    return hits.join(selected.select("query_id", "rank"), ["query_id", "rank"], "left_semi")
+
+
 def prompts(questions: DataFrame, sources: DataFrame, template: PromptTemplate = PromptTemplate()) -> DataFrame:
     """(query_id, prompt) of questions that have sources."""
     line = F.format_string(template.source, F.col("s.source_no").cast("int"), F.col("s.title"), F.col("s.content"))

@@ -236,7 +236,7 @@ def cosine_pairs(spark, d):
     return a.join(b, ["note_id", "i"]).select("id_a", "id_b", F.round(V.cosine(F.col("va"), F.col("vb")), 6).alias("cosine"))
 
 
-@query("vector_codec")
+@query("vector_codec", "SELECT vec_id, 4 * len(embedding)::INT AS n_bytes, true AS same FROM embeddings")
 def vector_codec(spark, d):
     """Vectors through bytes and back; the same numbers."""
     v = read(spark, d, "embeddings").select("vec_id", "embedding", V.to_bytes("embedding").alias("b"))
@@ -301,6 +301,12 @@ for _s in ("ivf", "lsh", "hnsw"):
     query(f"knn_{_s}_k10")(_approximate(_s))
 
 
+@query("distinct_answers", _with(_V, _Q, _LATEST, _SCORED, _top(5), _HITS) + "SELECT query_id, len(list_distinct(list(note_id))) AS n_notes FROM hits GROUP BY query_id")
+def distinct_answers(spark, d):
+    """Notes among a question's hits, each once."""
+    return _hits(spark, d, 5).groupBy("query_id").agg(F.size(F.collect_set("note_id")).cast("long").alias("n_notes"))
+
+
 @query("ann_agreement")
 def ann_agreement(spark, d):
     """Mean recall of each approximate strategy against the exact one."""
@@ -438,6 +444,12 @@ _PROMPT = """p AS (SELECT s.query_id, '以下はノートからの抜粋です
   || chr(10) || chr(10) || '質問: ' || any_value(regexp_replace(q.text, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) AS prompt, count(*) AS n FROM selected s JOIN q USING (query_id) WHERE s.content IS NOT NULL GROUP BY 1)"""
 
 
+@query("used_hits", _RAG + "SELECT query_id, rank, chunk_id FROM selected")
+def used_hits(spark, d):
+    hits = _hits(spark, d, 5)
+    return rag.used_hits(hits, rag.select_sources(hits)).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id")
+
+
 @query("rag_prompt", _RAG.rstrip() + ",\n" + _PROMPT + "SELECT query_id, md5(prompt) AS prompt_md5, length(prompt) AS n_chars FROM p")
 def rag_prompt(spark, d):
     q = search.asked(_cases(spark, d).select("query_id", "text"))
@@ -451,7 +463,8 @@ def rag_fallback(spark, d):
     return rag.answers(q, _hits(spark, d, 5), None, "model not installed")
 
 
-@query("rag_answer")
+@query("rag_answer", _RAG.rstrip() + ",\n" + _PROMPT + f"""SELECT q.query_id, 'echo:' || md5('{rag.INSTRUCTIONS}' || chr(10) || prompt) AS text, NULL::VARCHAR AS unavailable_reason, coalesce(p.n, 0) AS n_sources
+FROM q LEFT JOIN p USING (query_id)""")
 def rag_answer(spark, d):
     """Answers of the deterministic stand-in."""
     return rag.answers(_cases(spark, d).select("query_id", "text"), _hits(spark, d, 5), rag.echo_generator)
