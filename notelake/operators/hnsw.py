@@ -100,12 +100,14 @@ class HNSW:
             kept = np.zeros((b, c), bool)
             count = np.zeros(b, int)
             for k in range(c):
-                take = valid[:, k] & (s[:, k] > nearest[:, k]) & (count < m)
-                if not take.any():
+                take = np.flatnonzero(valid[:, k] & (s[:, k] > nearest[:, k]) & (count < m))
+                if not len(take):
+                    if (count >= m).all():
+                        break
                     continue
-                kept[:, k] = take
-                count += take
-                nearest = np.where(take[:, None], np.maximum(nearest, g[:, :, k]), nearest)
+                kept[take, k] = True
+                count[take] += 1
+                nearest[take] = np.maximum(nearest[take], g[take, k])
             order = np.argsort(np.where(kept, 0, np.where(valid, 1, 2)), axis=1, kind="stable")[:, :m]
             best = np.where(np.take_along_axis(valid, order, 1), np.take_along_axis(i, order, 1), -1)
             out[at:at + len(best), : best.shape[1]] = best
@@ -129,12 +131,14 @@ class HNSW:
         full = np.flatnonzero(used + count > width)
         if not len(full):
             return
-        # Choose anew among present and waiting links; waiting ones in rounds of one row's width.
-        rounds = int(count[full].max() - 0)
-        waiting = np.full((len(full), min(rounds, 4 * width)), -1, np.int64)
-        for r, k in enumerate(full):
-            w = source[first[k] + max(0, width - used[k]):first[k] + count[k]][: waiting.shape[1]]
-            waiting[r, : len(w)] = w
+        # Choose anew among present and waiting links.
+        row = np.full(len(nodes), -1, np.int64)
+        row[full] = np.arange(len(full))
+        left = np.flatnonzero(~fits)
+        column = (slot - room)[left]
+        waiting = np.full((len(full), min(int(column.max()) + 1, 4 * width)), -1, np.int64)
+        kept = column < waiting.shape[1]
+        waiting[row[np.repeat(np.arange(len(nodes)), count)[left[kept]]], column[kept]] = source[left[kept]]
         both = np.concatenate([links[nodes[full]].astype(np.int64), waiting], axis=1)
         sims = np.full(both.shape, -3, np.float32)
         r, k = np.nonzero(both >= 0)
