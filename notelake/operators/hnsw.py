@@ -22,7 +22,8 @@ class HNSWConfig:
     ef_construction: int = 40
     ef_search: int = 40
     at_once: int = 3          # nodes of a beam expanded in one step
-    batch: int = 256
+    batch: int = 384
+    scanned: int = 4096       # nodes up to which an upper layer is scored as a whole
     seed: int = 11
 
 
@@ -50,6 +51,7 @@ class HNSW:
         self.order = np.argsort(-level, kind="stable")
         top = int(level.max(initial=0))
         self.layers: list[np.ndarray] = []
+        self.members: list[np.ndarray] = []
         for l in range(top, -1, -1):
             members = self.order[: int((level >= l).sum())]
             links = 2 * config.m if l == 0 else config.m
@@ -86,6 +88,7 @@ class HNSW:
             self._link_back(batch, chosen, links)
             done += size
         self.layers.append(links)
+        self.members.append(members)
 
     def _select(self, sims: np.ndarray, ids: np.ndarray, m: int) -> np.ndarray:
         """Up to m diverse neighbours of each row's candidates, best first; skipped ones fill what is left. -1: none."""
@@ -147,7 +150,14 @@ class HNSW:
         links[nodes[full]] = self._select(np.take_along_axis(sims, rank, 1), np.take_along_axis(both, rank, 1), width)
 
     def _entry(self, q: np.ndarray, start: int) -> np.ndarray:
-        """Best node for each query on the layers built so far, from the top down."""
+        """Best node for each query on the layers built so far, from the top down.
+
+        A layer of few nodes is scored as a whole: one matrix product is less work than walking down to it.
+        """
+        if self.layers and len(self.members[len(self.layers) - 1]) <= self.c.scanned:
+            nodes = self.members[len(self.layers) - 1]
+            best = [(q[a:a + 2048] @ self.x[nodes].T).argmax(axis=1) for a in range(0, len(q), 2048)]
+            return nodes[np.concatenate(best)][:, None]
         at = np.full((len(q), 1), start, np.int64)
         for links in self.layers:
             ids, _ = self._search_layer(q, at, links, 4)
