@@ -34,7 +34,7 @@ class NeighbourConfig:
     sample: int = 50_000         # vectors that centroids are fitted on, at most
     margin: float = 0.15         # how much less similar than the nearest a searched shard's centroid may be
     rounds: int = 12             # of the centroids' fitting
-    graph: HNSWConfig = field(default_factory=lambda: HNSWConfig(m=12, ef_construction=40, ef_search=44))
+    graph: HNSWConfig = field(default_factory=lambda: HNSWConfig(m=16, ef_construction=72, ef_search=80))
 
 
 def vectors_of(chunks: DataFrame, references: DataFrame) -> DataFrame:
