@@ -7,7 +7,8 @@ number is checked, and more of them than `most_queries` are searched block by bl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from notelake import runtime
-from notelake.functions.vector import checked, dot, l2_normalize
+from notelake.functions.vector import checked, dot, l2_normalize, norm
 from notelake.operators.hnsw import HNSW, HNSWConfig
 
 RESULT = "query_id string, id string, score double"
@@ -137,6 +138,20 @@ def _cells_of(m: np.ndarray, probes: int):
     return cells
 
 
+def _long_above(vectors: DataFrame) -> float:
+    """The norm above which a vector is long: it may win by its length, whatever its direction, so cells and buckets don't hold it."""
+    n = vectors.select(norm(F.col("vec")).alias("n")).where("n > 0").agg(F.percentile_approx("n", 0.5, 10_000)).first()[0]
+    return 1.1 * (n or 0.0)
+
+
+def _filled(found: DataFrame, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Queries that met fewer than k vectors are searched exactly."""
+    found = runtime.cut(found)
+    full = found.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
+    rest = knn_expression(vectors, queries.join(full, "query_id", "left_anti"), k)
+    return found.join(full, "query_id", "left_semi").unionByName(rest.select("query_id", F.col("id").cast("string").alias("id"), "score", "rank"))
+
+
 def knn_ivf(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, cells: int = 16, probes: int = 6) -> DataFrame:
     """Vectors are kept by nearest cell; a query is joined to its nearest cells only."""
     runtime.ship(vectors.sparkSession)
@@ -147,26 +162,61 @@ def knn_ivf(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, cell
     return top_k(pairs, k, ["query_id"])
 
 
-def knn_lsh(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, tables: int = 12, bits: int = 6, seed: int = 23) -> DataFrame:
-    """Random hyperplanes: a query meets the vectors of its bucket in any table; candidates are scored exactly."""
-    runtime.ship(vectors.sparkSession)
-    rng = np.random.default_rng(seed)
-    planes = rng.normal(size=(tables, bits, dimension))
-
-    flat = planes.reshape(tables * bits, dimension)
+def lsh_candidates(x: np.ndarray, q: np.ndarray, planes: np.ndarray, probes: int, long_above: float) -> Iterator[np.ndarray]:
+    """For each query the rows of x that it meets: those in its `probes` likeliest buckets of any table, and the long ones.
 
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def buckets(v: pd.Series) -> pd.Series:
-        if not len(v):
-            return pd.Series([], dtype=object)
-        side = (np.stack(v.to_numpy()).astype(np.float64) @ flat.T > 0).reshape(len(v), tables, bits)
-        return pd.Series(list((side @ (1 << np.arange(bits)) + (np.arange(tables) << bits)).astype(np.int32)))
-
-    a = vectors.withColumn("bucket", F.explode(buckets(F.col("vec"))))
-    b = queries.withColumn("bucket", F.explode(buckets(F.col("qvec"))))
-    pairs = a.select("id", "bucket").join(b.select("query_id", "bucket"), "bucket").select("query_id", "id").distinct()
-    scored = pairs.join(vectors, "id").join(queries, "query_id").select("query_id", "id", score_of().alias("score"))
-    return top_k(scored, k, ["query_id"])
+    The likeliest other buckets are those across the planes that the query lies nearest to.
+    """
+    tables, bits, dimension = planes.shape
+    flat, weight = planes.reshape(-1, dimension).T, 1 << np.arange(bits)
+    own = (x @ flat > 0).reshape(len(x), tables, bits) @ weight
+    long = np.linalg.norm(x, axis=1) > long_above
+    sides = (np.arange(1 << bits)[:, None] & weight > 0)
+    for row in q:
+        at = (row @ flat).reshape(tables, 1, bits)
+        across = ((sides != (at > 0)) * at ** 2).sum(axis=2)
+        asked = np.zeros((tables, 1 << bits), bool)
+        np.put_along_axis(asked, np.argsort(across, axis=1, kind="stable")[:, :probes], True, 1)
+        yield np.flatnonzero(asked[np.arange(tables), own].any(axis=1) | long)
+
+
+def _best_met(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, meet: Callable[[np.ndarray, np.ndarray], Iterator[np.ndarray]], block: int) -> DataFrame:
+    """The k best of the vectors that each query meets; only these are scored. meet(x, q): for each query the rows of x."""
+    spark = vectors.sparkSession
+    kept = vectors.select(F.col("id").cast("string").alias("id"), checked(F.col("vec"), dimension).alias("vec"))
+
+    def search_for(sent):
+        def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, q = sent.value
+            for f in frames:
+                if not len(f):
+                    continue
+                f = f.sort_values("id", kind="stable")
+                x, names = np.stack(f["vec"].to_numpy()).astype(np.float64), f["id"].to_numpy()
+                out = []
+                for i, row, met in zip(ids, q, meet(x, q), strict=True):
+                    s = np.round(x[met] @ row, 12)
+                    top = np.argsort(-s, kind="stable")[:k]
+                    out.append(pd.DataFrame({"query_id": i, "id": names[met[top]], "score": s[top]}))
+                yield pd.concat(out)
+
+        return search
+
+    asked = queries.select("query_id", checked(F.col("qvec"), dimension).alias("qvec")).orderBy("query_id").toLocalIterator()
+    found = spark.createDataFrame([], RESULT)
+    while rows := list(islice(asked, block)):  # a block of queries at a time, so any number of them
+        sent = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows], object), np.array([r["qvec"] for r in rows], np.float64).reshape(len(rows), dimension)))
+        found = found.unionByName(kept.mapInPandas(search_for(sent), RESULT))
+    return _filled(top_k(found, k, ["query_id"]), vectors, queries, k)
+
+
+def knn_lsh(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, tables: int = 12, bits: int = 6, seed: int = 23, probes: int = 3, block: int = 20_000) -> DataFrame:
+    """Random hyperplanes: a query meets the vectors of its likeliest buckets in any table, and all long ones."""
+    runtime.ship(vectors.sparkSession)
+    if k <= 0:
+        return vectors.sparkSession.createDataFrame([], RESULT).withColumn("rank", F.lit(0))
+    planes, long_above = np.random.default_rng(seed).normal(size=(tables, bits, dimension)), _long_above(vectors)
+    return _best_met(vectors, queries, k, dimension, lambda x, q: lsh_candidates(x, q, planes, probes, long_above), block)
 
 
 def knn_hnsw(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, shard_rows: int = 20_000, config: HNSWConfig = HNSWConfig(), most_queries: int = 20_000) -> DataFrame:

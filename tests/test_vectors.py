@@ -42,6 +42,36 @@ def test_wrong_dimension_fails(spark, three):
         knn.knn(three, ask(spark, [1, 0]), 2, 3).collect()
 
 
+def directions(n, d, seed):
+    """Vectors around a few centres, as far apart as a centre is long; like G2, with a third as many centres as dimensions."""
+    rng = np.random.default_rng(seed)
+    x = np.random.default_rng(99).normal(size=(d // 3, d))[rng.integers(0, d // 3, n)] + 0.7 * rng.normal(size=(n, d))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.01])
+@pytest.mark.parametrize("strategy", ["lsh"])
+def test_recall_of_buckets_and_cells(spark, strategy, share):
+    x, q = directions(3000, 32, 5), directions(20, 32, 6)
+    x[np.random.default_rng(7).random(len(x)) < share] *= 10
+    v = spark.createDataFrame([(str(i), r.tolist()) for i, r in enumerate(x)], "id string, vec array<float>")
+    truth = knn.knn(v, ask(spark, *q), 10, 32)
+    found = knn.knn(v, ask(spark, *q), 10, 32, strategy)
+    assert metrics.index_recall(truth, found).agg(F.avg("recall")).first()[0] >= 0.9
+
+
+@pytest.mark.parametrize("strategy", ["lsh"])
+def test_what_no_bucket_holds_is_scored(spark, strategy):
+    v = spark.createDataFrame([(str(i), [-1.0, 0.001 * i, *[0.0] * 6]) for i in range(200)], "id string, vec array<float>")
+    rows = knn.knn(v, ask(spark, [1, 0] + [0] * 6, [0, 1] + [0] * 6), 250, 8, strategy).collect()
+    assert len(rows) == 400 and len({(r["query_id"], r["id"]) for r in rows}) == 400
+
+
+def test_more_queries_than_a_block(spark, three):
+    rows = knn.knn_lsh(three, ask(spark, [1, 0, 0], [0, 1, 0], [0, 0, 1]), 1, 3, block=2).collect()
+    assert {(r["query_id"], r["id"]) for r in rows} == {("q0", "a"), ("q1", "c"), ("q2", "a")}
+
+
 def test_upsert_and_remove(spark, three):
     v = three.withColumn("version", F.lit(0))
     new = spark.createDataFrame([("a", [0.0, 0.0, 1.0], 1)], "id string, vec array<float>, version int")
