@@ -14,7 +14,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 from notelake import runtime
 from notelake.functions.vector import checked, dot, l2_normalize, norm
@@ -124,20 +123,6 @@ def fit_cells(vectors: DataFrame, cells: int, dimension: int, sample: int = 20_0
     return m
 
 
-def _cells_of(m: np.ndarray, probes: int):
-    """UDF: numbers of a vector's nearest cells, nearest first."""
-    offset = 0.5 * (m * m).sum(axis=1)
-
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def cells(v: pd.Series) -> pd.Series:
-        if not len(v):
-            return pd.Series([], dtype=object)
-        s = np.stack(v.to_numpy()).astype(np.float64) @ m.T - offset
-        return pd.Series(list(np.argsort(-s, axis=1, kind="stable")[:, :probes].astype(np.int32)))
-
-    return cells
-
-
 def _long_above(vectors: DataFrame) -> float:
     """The norm above which a vector is long: it may win by its length, whatever its direction, so cells and buckets don't hold it."""
     n = vectors.select(norm(F.col("vec")).alias("n")).where("n > 0").agg(F.percentile_approx("n", 0.5, 10_000)).first()[0]
@@ -152,14 +137,26 @@ def _filled(found: DataFrame, vectors: DataFrame, queries: DataFrame, k: int) ->
     return found.join(full, "query_id", "left_semi").unionByName(rest.select("query_id", F.col("id").cast("string").alias("id"), "score", "rank"))
 
 
-def knn_ivf(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, cells: int = 16, probes: int = 6) -> DataFrame:
-    """Vectors are kept by nearest cell; a query is joined to its nearest cells only."""
+def ivf_candidates(x: np.ndarray, q: np.ndarray, m: np.ndarray, probes: int, long_above: float) -> Iterator[np.ndarray]:
+    """For each query the rows of x that it meets: those in the `probes` cells nearest to its direction, and the long ones."""
+    def unit(v: np.ndarray) -> np.ndarray:
+        n = np.linalg.norm(v, axis=1, keepdims=True)
+        return np.divide(v, n, out=v.copy(), where=n > 0)
+
+    offset, long = 0.5 * (m * m).sum(axis=1), np.linalg.norm(x, axis=1) > long_above
+    own = (unit(x) @ m.T - offset).argmax(axis=1)
+    for cells in np.argsort(offset - unit(q) @ m.T, axis=1, kind="stable")[:, :probes]:
+        yield np.flatnonzero(np.isin(own, cells) | long)
+
+
+def knn_ivf(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, cells: int = 16, probes: int = 6, block: int = 20_000) -> DataFrame:
+    """A query meets the vectors whose directions lie in its nearest cells, and all long ones."""
     runtime.ship(vectors.sparkSession)
-    m = fit_cells(vectors, cells, dimension)
-    kept = vectors.withColumn("cell", _cells_of(m, 1)(F.col("vec"))[0])
-    asked = queries.withColumn("cell", F.explode(_cells_of(m, probes)(F.col("qvec"))))
-    pairs = kept.join(asked, "cell").select("query_id", "id", score_of().alias("score"))
-    return top_k(pairs, k, ["query_id"])
+    if k <= 0:
+        return vectors.sparkSession.createDataFrame([], RESULT).withColumn("rank", F.lit(0))
+    long_above = _long_above(vectors)
+    m = fit_cells(vectors.where(norm(F.col("vec")) <= long_above).select("id", l2_normalize(F.col("vec")).alias("vec")), cells, dimension)
+    return _best_met(vectors, queries, k, dimension, lambda x, q: ivf_candidates(x, q, m, probes, long_above), block)
 
 
 def lsh_candidates(x: np.ndarray, q: np.ndarray, planes: np.ndarray, probes: int, long_above: float) -> Iterator[np.ndarray]:

@@ -50,7 +50,7 @@ def directions(n, d, seed):
 
 
 @pytest.mark.parametrize("share", [0.0, 0.01])
-@pytest.mark.parametrize("strategy", ["lsh"])
+@pytest.mark.parametrize("strategy", ["ivf", "lsh"])
 def test_recall_of_buckets_and_cells(spark, strategy, share):
     x, q = directions(3000, 32, 5), directions(20, 32, 6)
     x[np.random.default_rng(7).random(len(x)) < share] *= 10
@@ -60,7 +60,7 @@ def test_recall_of_buckets_and_cells(spark, strategy, share):
     assert metrics.index_recall(truth, found).agg(F.avg("recall")).first()[0] >= 0.9
 
 
-@pytest.mark.parametrize("strategy", ["lsh"])
+@pytest.mark.parametrize("strategy", ["ivf", "lsh"])
 def test_what_no_bucket_holds_is_scored(spark, strategy):
     v = spark.createDataFrame([(str(i), [-1.0, 0.001 * i, *[0.0] * 6]) for i in range(200)], "id string, vec array<float>")
     rows = knn.knn(v, ask(spark, [1, 0] + [0] * 6, [0, 1] + [0] * 6), 250, 8, strategy).collect()
