@@ -2,7 +2,8 @@
 
 A page becomes a stream of letters and digits (no case, accents, blanks, punctuation or hyphens; lines in
 printed order by their boxes), so line breaks and broken words don't matter. Each shard of pages gets an
-FM-index; windows of the items that few items share are searched backward and located. Pages with
+FM-index; windows of the items that few items share are searched backward and located (all windows of an item
+that shares many of its own; items of equal text are searched once). Pages with
 enough of an item's windows are then checked exactly: all windows of the item on the page are chained in
 order, and the item's words that the chain covers are counted. Matched stretches are merged to spans.
 
@@ -33,7 +34,7 @@ from notelake.llm.fm_index import FMIndex
 @dataclass(frozen=True)
 class LeakConfig:
     window: int = 10            # symbols per searched window; an ideograph or kana takes two
-    shared_by: int = 3          # windows of more items than this say nothing about one item
+    shared_by: int = 3          # windows of more items than this are searched only for items that can't do without them
     least_windows: float = 0.28  # share of an item's telling windows on a page that makes it a candidate
     least_words: float = 0.5    # share of an item's words that must stand on the page
     density: float = 0.85       # matched share of the passage, from its first to its last matched symbol
@@ -238,11 +239,10 @@ def find_leaks(pages: pd.DataFrame, items: list[Item], c: LeakConfig) -> Iterato
         return
     streams = page_streams(list(pages["text"]), list(zip(pages["x0"], pages["x1"], pages["y0"], strict=True)))
     ids = pages["doc_id"].tolist()
-    telling, owners = _telling(items, c)
+    telling, first, owners, need = _telling(items, c)
     if not len(telling):
         return
     patterns = np.stack([(telling >> (5 * (c.window - 1 - j))) & 31 for j in range(c.window)], axis=1)
-    need = np.bincount(owners[owners >= 0], minlength=len(items)) * c.least_windows
     # Pieces of at most a shard's symbols; a page that is longer than a shard goes in overlapping pieces.
     pieces: list[tuple[int, int, np.ndarray]] = []
     for k, (s, _) in enumerate(streams):
@@ -275,10 +275,16 @@ def find_leaks(pages: pd.DataFrame, items: list[Item], c: LeakConfig) -> Iterato
         pairs = np.unique(piece * len(telling) + window)
         piece, window = pairs // len(telling), pairs % len(telling)
         counts = np.zeros((len(shard), len(items)), np.int32)
-        for k in range(c.shared_by):
-            owner = owners[window, k]
-            np.add.at(counts, (piece[owner >= 0], owner[owner >= 0]), 1)
-        for k, i in zip(*np.nonzero((counts >= need) & (counts >= 3)), strict=True):
+        n_owners = first[window + 1] - first[window]
+        ends = np.cumsum(n_owners)
+        at = 0
+        while at < len(window):  # blocks, as a window may have many owners
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 4_000_000, "right")))
+            n = n_owners[at:stop]
+            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            np.add.at(counts, (np.repeat(piece[at:stop], n), owners[np.repeat(first[window[at:stop]], n) + inner]), 1)
+            at = stop
+        for k, i in zip(*np.nonzero((counts >= need) & (counts > 0)), strict=True):
             item = items[i]
             doc, begin, symbols = shard[k]
             found = check_item(item, symbols, c)
@@ -287,20 +293,27 @@ def find_leaks(pages: pd.DataFrame, items: list[Item], c: LeakConfig) -> Iterato
         start = end
 
 
-def _telling(items: list[Item], c: LeakConfig) -> tuple[np.ndarray, np.ndarray]:
-    """Windows that at most shared_by items have, and the (up to shared_by) items that have each; -1 fills."""
-    codes = np.concatenate([np.unique(i.codes) for i in items] or [np.empty(0, np.int64)])
-    owner = np.concatenate([np.full(len(np.unique(i.codes)), k) for k, i in enumerate(items)] or [np.empty(0, np.int64)])
+def _telling(items: list[Item], c: LeakConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Searched windows, where the owners of each begin (and the last ends), the owners, and the hits that make each item a candidate.
+
+    An item's windows that more than shared_by items have are left out, as they would make pages of the same turns of phrase
+    candidates. Where they are so many that a page may leak the item by them alone, all windows of the item are searched.
+    """
+    each = [np.unique(i.codes) for i in items]
+    n_all = np.array([len(e) for e in each], np.int64)
+    codes = np.concatenate([*each, np.empty(0, np.int64)])
+    owner = np.repeat(np.arange(len(items)), n_all)
     order = np.lexsort((owner, codes))
     codes, owner = codes[order], owner[order]
-    telling, first, n = np.unique(codes, return_index=True, return_counts=True)
-    few = n <= c.shared_by
-    telling, first, n = telling[few], first[few], n[few]
-    owners = np.full((len(telling), c.shared_by), -1, np.int64)
-    for k in range(c.shared_by):
-        has = n > k
-        owners[has, k] = owner[first[has] + k]
-    return telling, owners
+    _, which, n = np.unique(codes, return_inverse=True, return_counts=True)
+    few = n[which] <= c.shared_by
+    left_out = np.bincount(owner[~few], minlength=len(items))
+    whole = left_out >= c.least_words * n_all
+    left_out[whole] = 0
+    kept = few | whole[owner]
+    telling, first = np.unique(codes[kept], return_index=True)
+    need = np.maximum(c.least_windows * (n_all - left_out), np.minimum(3, n_all))
+    return telling, np.append(first, kept.sum()), owner[kept], need
 
 
 def _spans(origin: np.ndarray, matched: np.ndarray) -> list[tuple[int, int]]:
@@ -323,12 +336,15 @@ def leaks(documents: DataFrame, eval_items: DataFrame, c: LeakConfig = LeakConfi
     rows = eval_items.where("text is not null and item_id is not null").select("item_id", "text").distinct().orderBy("item_id", "text").limit(200_001).collect()
     if len(rows) > 200_000:
         raise ValueError("the held-out set is too large to be sent to every task")
-    sent = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in rows])
+    ids: dict[str, list[int]] = {}
+    for r in rows:
+        ids.setdefault(r["text"], []).append(r["item_id"])
+    sent = spark.sparkContext.broadcast(list(ids.items()))
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items = [Item(i, t, c.window) for i, t in sent.value]
+        items = [Item(k, t, c.window) for k, (t, _) in enumerate(sent.value)]  # equal texts are one item, reported under each id
         for f in frames:
-            found = [(d, i, w, n, [a for a, _ in s], [b for _, b in s]) for d, i, w, n, s in find_leaks(f, items, c)]
+            found = [(d, i, w, n, [a for a, _ in s], [b for _, b in s]) for d, k, w, n, s in find_leaks(f, items, c) for i in sent.value[k][1]]
             yield pd.DataFrame(found, columns=["doc_id", "item_id", "words_found", "item_words", "span_starts", "span_ends"])
 
     # Round-robin: pages of a newspaper that holds a third of all rows spread over all tasks.

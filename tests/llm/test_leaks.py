@@ -101,3 +101,14 @@ def test_page_longer_than_a_shard():
     pages = pd.DataFrame({"doc_id": [5, 6], "text": [text, passage(rng, 50)], "x0": [None, None], "x1": [None, None], "y0": [None, None]})
     found = list(p7.find_leaks(pages, [p7.Item(1, item, c.window)], c))
     assert {f[:2] for f in found} == {(5, 1)} and abs(found[0][4][0][0] - text.index(item)) <= 2
+
+
+def test_items_that_share_their_windows(table):
+    rng = random.Random(8)
+    item, shared, other = passage(rng, 40), passage(rng, 36), passage(rng, 40)
+    ends = [passage(rng, 24) for _ in range(5)]
+    half = " ".join(shared.split()[:34])
+    docs = [(1, f"{passage(rng, 50)} {item} {passage(rng, 50)}", None, 1, 1), (2, f"{passage(rng, 50)} {half} {passage(rng, 50)}", None, 1, 1), (3, passage(rng, 150), None, 1, 1), (4, other, None, 1, 1)]
+    ev = [(i, item, 0) for i in range(6)] + [(10 + i, f"{shared} {e}", 0) for i, e in enumerate(ends)] + [(20, other, 0)]
+    got = {(r["doc_id"], r["item_id"]) for r in p7.leaks(table(docs, DOCS), table(ev, ITEMS)).collect()}
+    assert got == {(1, i) for i in range(6)} | {(2, 10 + i) for i in range(5)} | {(4, 20)}
