@@ -168,7 +168,7 @@ def split(text: str, c: SplitConfig = SplitConfig()) -> list[tuple[int, int, int
         begin = start
         if start:
             begin = sizes.earliest(start, c.overlap)
-            stretch = rank[begin:start + 1]
+            stretch = rank[begin:start]  # without start itself, which would end the search with no overlap
             for least in (3, 2, 1):
                 ok = np.flatnonzero(stretch >= least)
                 if len(ok):

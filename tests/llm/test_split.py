@@ -57,3 +57,9 @@ def test_rows(table):
     text = "x" * 1700
     assert all(text[r["start_pos"]:r["end_pos"]] == r["piece"] for r in rows)
     assert p2.pieces(items.limit(0)).count() == 0
+
+
+def test_long_sentences_overlap_at_words():
+    t = " ".join("lamp" + " kettle" * 89 + "." for _ in range(20))
+    p = check(t)
+    assert len(p) > 2 and all(b < a and t[b - 1] == " " for a, b, _ in p[1:])
