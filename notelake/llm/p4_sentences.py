@@ -77,8 +77,8 @@ MASKS = (
     rf"\.(?=[.{MASK}])",
 )
 
-_QUOTE = rf"(?:“[^”{NL}]{{0,600}}+”|«[^»{NL}]{{0,600}}+»|「[^」{NL}]{{0,600}}+」|『[^』{NL}]{{0,600}}+』|„[^“{NL}]{{0,600}}+“|\"[^\"{NL}]{{0,600}}+\")"
-_BRACKET = rf"(?:\([^(){NL}]{{0,600}}+\)|（[^（）{NL}]{{0,600}}+）|\[[^\[\]{NL}]{{0,600}}+\])"
+_QUOTE = rf"(?:“[^”{NL}]*+”|«[^»{NL}]*+»|「[^」{NL}]*+」|『[^』{NL}]*+』|„[^“{NL}]*+“|\"[^\"{NL}]*+\")"
+_BRACKET = rf"(?:\([^(){NL}]*+\)|（[^（）{NL}]*+）|\[[^\[\]{NL}]*+\])"
 _OPENERS = "“«「『„\"(（["
 _CLOSERS = r"[)\]}\"”’»」』）】]"
 #: A quote that closes a statement within a sentence, before a new sentence.

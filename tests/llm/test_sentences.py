@@ -43,3 +43,11 @@ def test_lines_lists_and_edges(table):
     assert got == ["Heading", "22. 脚立を確認", "- a lamp, 42.8 kg", "the end.", "Next one"]
     assert {r["k"]: r["count"] for r in rows.groupBy("k").count().collect()} == {1: 5, 5: 50_000}
     assert sentences(table([], "k long, t string"), "k", "t").count() == 0
+
+
+@pytest.mark.parametrize("marks", ["“”", "「」", "()", '""'])
+def test_long_quotes_and_brackets_stay_whole(table, marks):
+    inside = "The lamp is new. " * 60
+    want = [f"The clerk said {marks[0]}{inside}{marks[1]} and left.", "It leaks."]
+    rows = sentences(table([(1, " ".join(want))], "k long, t string"), "k", "t").orderBy("start_pos").collect()
+    assert [r["sentence"] for r in rows] == want
