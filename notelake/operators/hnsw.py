@@ -1,8 +1,10 @@
 """Hierarchical navigable small-world graph in flat numpy arrays, built and searched for many vectors at once.
 
-Every layer is an (n, links) array of neighbours, -1 where there is none. Nodes enter layer by layer in batches; a
-batch searches the graph of those before it and itself, takes diverse neighbours, and is linked back. Searches keep
-one sorted row of keys per query: similarity, a bit for "expanded", and the node, in one 64-bit integer.
+Every layer is an (n, links) array of neighbours, -1 where there is none. Nodes enter layer by layer, in an order; each
+takes diverse neighbours among the nearest of those before it, and is linked back. On layers of up to `paired` nodes, the
+size of a shard, the nearest before a node come from blocked matrix products; larger ones are built by batches that search
+the graph of those before them and themselves. Searches keep one sorted row of keys per query: similarity, a bit for
+"expanded", and the node, in one 64-bit integer.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ class HNSWConfig:
     at_once: int = 3          # nodes of a beam expanded in one step
     batch: int = 384
     scanned: int = 4096       # nodes up to which an upper layer is scored as a whole
+    paired: int = 65_536      # nodes up to which a layer's candidates come from matrix products
     seed: int = 11
 
 
@@ -68,6 +71,13 @@ class HNSW:
             near = np.argsort(-sims, axis=1)[:, :width]
             links[seed] = self._select(np.take_along_axis(sims, near, 1), seed[near], links.shape[1])
         done = first
+        if first < len(members) <= self.c.paired:
+            done = len(members)
+            chosen = np.full((done - first, self.c.m if links.shape[1] > self.c.m else links.shape[1]), -1, np.int32)
+            for a, b, near, sims in self._nearest_before(members, first, self.c.ef_construction):
+                chosen[a - first:b - first] = self._select(sims, near, chosen.shape[1])
+            links[members[first:], : chosen.shape[1]] = chosen
+            self._link_back(members[first:], chosen, links)
         while done < len(members):
             size = min(4 * self.c.batch, max(128, done // 2), len(members) - done)
             batch = members[done:done + size]
@@ -90,6 +100,29 @@ class HNSW:
         self.layers.append(links)
         self.members.append(members)
 
+    def _nearest_before(self, members: np.ndarray, first: int, k: int):
+        """(begin, end, ids, similarities) by blocks of members from `first` on: the k nearest of those before each, best first."""
+        y, n, fold = self.x[members], len(members), 32
+        at = first
+        while at < n:
+            end = min(n, at + max(64, min(1024, 6_000_000 // n)))
+            width = -(-end // fold)
+            s = np.full((end - at, fold * width), -3, np.float32)
+            np.matmul(y[at:end], y[:end].T, out=s[:, :end])
+            s[:, at:end][np.arange(end - at)[:, None] <= np.arange(end - at)] = -3
+            # The k best lie in the k groups of columns with the best maxima.
+            if width > k:
+                folded = s.reshape(end - at, fold, width)
+                groups = np.argpartition(-folded.max(axis=1), k - 1, axis=1)[:, :k]
+                s = np.take_along_axis(folded, groups[:, None, :], 2).reshape(end - at, fold * k)
+            top = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
+            sims = np.take_along_axis(s, top, 1)
+            column = top // k * width + np.take_along_axis(groups, top % k, 1) if width > k else top
+            rank = np.argsort(-sims, axis=1)
+            sims, column = np.take_along_axis(sims, rank, 1), np.take_along_axis(column, rank, 1)
+            yield at, end, np.where(sims > -2, members[np.minimum(column, n - 1)], -1), sims
+            at = end
+
     def _select(self, sims: np.ndarray, ids: np.ndarray, m: int) -> np.ndarray:
         """Up to m diverse neighbours of each row's candidates, best first; skipped ones fill what is left. -1: none."""
         out = np.full((len(ids), m), -1, np.int32)
@@ -121,7 +154,8 @@ class HNSW:
         target = chosen.ravel()
         has = target >= 0
         source, target = source[has], target[has]
-        order = np.argsort(target, kind="stable")
+        near = np.concatenate([np.vecdot(self.x[source[a:a + 65_536]], self.x[target[a:a + 65_536]]) for a in range(0, len(source), 65_536)] or [np.empty(0, np.float32)])
+        order = np.lexsort((-near, target))  # the nearest first, so links beyond the waiting ones could not be chosen
         source, target = source[order], target[order]
         nodes, first, count = np.unique(target, return_index=True, return_counts=True)
         width = links.shape[1]
@@ -139,15 +173,15 @@ class HNSW:
         row[full] = np.arange(len(full))
         left = np.flatnonzero(~fits)
         column = (slot - room)[left]
-        waiting = np.full((len(full), min(int(column.max()) + 1, 4 * width)), -1, np.int64)
+        waiting = np.full((len(full), min(int(column.max()) + 1, width + 16)), -1, np.int64)
         kept = column < waiting.shape[1]
         waiting[row[np.repeat(np.arange(len(nodes)), count)[left[kept]]], column[kept]] = source[left[kept]]
         both = np.concatenate([links[nodes[full]].astype(np.int64), waiting], axis=1)
-        sims = np.full(both.shape, -3, np.float32)
-        r, k = np.nonzero(both >= 0)
-        sims[r, k] = np.einsum("ij,ij->i", self.x[nodes[full]][r], self.x[both[r, k]])
-        rank = np.argsort(-sims, axis=1)[:, : width + 16]
-        links[nodes[full]] = self._select(np.take_along_axis(sims, rank, 1), np.take_along_axis(both, rank, 1), width)
+        for at in range(0, len(full), 2048):
+            ids, own = both[at:at + 2048], nodes[full[at:at + 2048]]
+            sims = np.where(ids >= 0, np.einsum("bcd,bd->bc", self.x[np.maximum(ids, 0)], self.x[own]), np.float32(-3))
+            rank = np.argsort(-sims, axis=1)[:, : width + 16]
+            links[own] = self._select(np.take_along_axis(sims, rank, 1), np.take_along_axis(ids, rank, 1), width)
 
     def _entry(self, q: np.ndarray, start: int) -> np.ndarray:
         """Best node for each query on the layers built so far, from the top down.
