@@ -1,11 +1,12 @@
 """Problem 3: the k most similar vectors of every vector, by HNSW graphs per shard with merged results.
 
-Vectors are normalised and folded into classes of equal direction, so copies are compared once. Shards are the cells
-of centroids fitted on a bounded sample; every vector is indexed in the shard of its nearest centroid and searched in
-every shard whose centroid is nearly as close, so work grows with the number of vectors. A cell beyond the shard's
-capacity is split by hash, and all its parts are searched; queries beyond a bound go in blocks. Each task builds one
-graph as flat arrays, searches it, and scores what it found in double precision. Results of shards are merged by
-partial top-k, links serve both ends, and classes are expanded to ids: ties go to the smaller id.
+Vectors are normalised and folded into classes of equal direction, so copies are compared once; a class carries its k + 1
+smallest ids, the only ones of it that can be anyone's neighbours. Shards are the cells of centroids fitted on a bounded
+sample, in two levels where they are many. Every class is indexed in the shard of its nearest centroid and searched in
+the `probes` nearest at most, and of these only in those nearly as close as the nearest, so work grows with the number of
+vectors. A cell beyond twice the shard's size is split by hash, and all its parts are searched; queries beyond a bound go
+in blocks. Each task builds one graph as flat arrays, searches it, and scores what it found in double precision. Results
+of shards are merged by class and handed to the class's ids: ties go to the smaller id.
 
 Only vectors of the right length with finite numbers, not all zero, and with an id take part; of rows of one id one
 vector is used (the one with the larger hash, should they differ). Empty tables give an empty result.
@@ -17,11 +18,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notelake import runtime
+from notelake.operators import knn, metrics
 from notelake.operators.hnsw import HNSW, HNSWConfig
 
 
@@ -29,12 +31,15 @@ from notelake.operators.hnsw import HNSW, HNSWConfig
 class NeighbourConfig:
     k: int = 5
     dimension: int = 64
-    shard: int = 15_000          # vectors per shard, about; a cell of twice as many is split
-    queries: int = 60_000        # queries of other shards per block, about
-    sample: int = 50_000         # vectors that centroids are fitted on, at most
+    shard: int = 30_000          # vectors per shard, about; a cell of twice as many is split
+    queries: int = 120_000       # queries of a shard per block, about
+    sample: int = 16_000         # vectors that centroids are fitted on, about; 16 per centroid where that is more
+    most_sample: int = 400_000   # at most: the bound of what the driver reads
+    probes: int = 3              # shards that a vector is searched in, at most
     margin: float = 0.15         # how much less similar than the nearest a searched shard's centroid may be
+    flat: int = 256              # centroids up to which there is one level
     rounds: int = 12             # of the centroids' fitting
-    graph: HNSWConfig = field(default_factory=lambda: HNSWConfig(m=16, ef_construction=72, ef_search=80))
+    graph: HNSWConfig = field(default_factory=lambda: HNSWConfig(m=16, ef_construction=48, ef_search=32))
 
 
 def vectors_of(chunks: DataFrame, references: DataFrame) -> DataFrame:
@@ -43,10 +48,41 @@ def vectors_of(chunks: DataFrame, references: DataFrame) -> DataFrame:
     return chunks.select(F.col("chunk_id").alias("id"), "embedding").unionByName(cases)
 
 
-def usable(vectors: DataFrame, dimension: int) -> DataFrame:
-    e = F.col("embedding")
-    finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return vectors.where(F.col("id").isNotNull() & (F.size(e) == dimension) & finite & F.exists(e, lambda x: x != 0))
+def usable(column: pa.ListArray, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the usable vectors, and these as unit vectors in float32."""
+    offsets = column.offsets.to_numpy()
+    ok = np.flatnonzero((np.diff(offsets) == d) & column.is_valid().to_numpy(zero_copy_only=False))
+    numbers = column.values.to_numpy(zero_copy_only=False)  # null numbers come out as NaN
+    x = numbers[offsets[:-1][ok][:, None] + np.arange(d)].astype(np.float64) if len(ok) else np.empty((0, d))
+    good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+    x = x[good]
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return ok[good], (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("<f4") + np.float32(0)
+
+
+def class_of(x: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each vector's bits."""
+    words = np.ascontiguousarray(x).view("<u4").astype(np.uint64)
+    h = np.full(len(x), 0x9E3779B97F4A7C15, np.uint64)
+    for j in range(words.shape[1]):
+        h = (h ^ words[:, j]) * np.uint64(0xFF51AFD7ED558CCD)
+        h ^= h >> np.uint64(32)
+    return h.view(np.int64)
+
+
+def unit_rows(vectors: DataFrame, d: int, with_vectors: bool) -> DataFrame:
+    """(id, cls[, vec]) of the usable rows of vectors(id, embedding)."""
+
+    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, x = usable(b.column("embedding"), d)
+            out = {"id": b.column("id").take(pa.array(at)), "cls": pa.array(class_of(x))}
+            if with_vectors:
+                out["vec"] = pa.array([r.tobytes() for r in x], pa.binary())
+            yield pa.RecordBatch.from_pydict(out)
+
+    schema = "id string, cls long" + ", vec binary" * with_vectors
+    return vectors.where("id is not null").select("id", F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(unit, schema)
 
 
 def fit_centroids(x: np.ndarray, k: int, rounds: int, seed: int = 5) -> np.ndarray:
@@ -62,130 +98,149 @@ def fit_centroids(x: np.ndarray, k: int, rounds: int, seed: int = 5) -> np.ndarr
     return m
 
 
+class Cells:
+    """Centroids; where they are many, below coarser ones, so that no vector meets all of them."""
+
+    def __init__(self, sample: np.ndarray, k: int, c: NeighbourConfig) -> None:
+        self.c = c
+        if k <= c.flat:
+            self.coarse, self.fine = None, [fit_centroids(sample, k, c.rounds)]
+        else:
+            self.coarse = fit_centroids(sample, int(np.ceil(k ** 0.5)), c.rounds)
+            own = np.concatenate([(sample[a:a + 8192] @ self.coarse.T).argmax(axis=1) for a in range(0, len(sample), 8192)])
+            self.fine = [fit_centroids(part, max(1, round(k * len(part) / len(sample))), c.rounds) if len(part) else self.coarse[g:g + 1] for g in range(len(self.coarse)) for part in [sample[own == g]]]
+        self.first = np.concatenate([[0], np.cumsum([len(m) for m in self.fine])])
+        self.n = int(self.first[-1])
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(n, probes) of cells, the nearest first, and whether each is near enough to be searched."""
+        p = self.c.probes
+        cells, sims = np.zeros((len(x), p), np.int64), np.full((len(x), p), -3, np.float32)
+        groups = np.zeros((len(x), 1), int) if self.coarse is None else np.argsort(-(x @ self.coarse.T), axis=1)[:, :p]
+        for g, m in enumerate(self.fine):
+            rows = np.flatnonzero((groups == g).any(axis=1))
+            if not len(rows):
+                continue
+            s = x[rows] @ m.T
+            top = np.argsort(-s, axis=1)[:, :p]
+            both = np.concatenate([sims[rows], np.take_along_axis(s, top, 1)], axis=1)
+            ids = np.concatenate([cells[rows], self.first[g] + top], axis=1)
+            best = np.argsort(-both, axis=1, kind="stable")[:, :p]
+            sims[rows], cells[rows] = np.take_along_axis(both, best, 1), np.take_along_axis(ids, best, 1)
+        return cells, (sims > -2) & (sims >= sims[:, :1] - self.c.margin)
+
+
 def _matrix(column, d: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), "<f4").reshape(-1, d)
 
 
 def class_neighbours(classes: DataFrame, c: NeighbourConfig = NeighbourConfig()) -> DataFrame:
-    """classes(cls LONG unique, vec BINARY unit float32) -> (cls, other, similarity): about k + 1 nearest of each, both ways."""
+    """classes(cls LONG unique, ids ARRAY<STRING>, vec BINARY unit float32) -> (cls, near ARRAY<STRUCT<s, id>>).
+
+    near has the k + 1 best ids for the class, its own included, by falling similarity (s is its negative).
+    """
     spark = classes.sparkSession
     n = classes.count()
-    every = max(1, -(-n // c.sample))
-    rows = classes.where(F.pmod(F.hash("cls"), F.lit(every)) == 0).select("vec").limit(2 * c.sample).collect()
+    k = max(1, round(n / c.shard))
+    wanted = min(c.most_sample, max(c.sample, 16 * k))
+    rows = classes.where(F.pmod(F.hash("cls"), F.lit(max(1, -(-n // wanted)))) == 0).select("vec").limit(2 * wanted).collect()
     if not rows:
         rows = classes.select("vec").limit(1).collect()
     d = c.dimension
     sample = _matrix([r["vec"] for r in rows], d) if rows else np.zeros((1, d), np.float32)
-    centroids = fit_centroids(sample, max(1, round(n / c.shard)), c.rounds)
-    sims = sample @ centroids.T
+    cells = Cells(sample, k, c)
+    held, asked = np.zeros(cells.n), np.zeros(cells.n)
+    for at in range(0, len(sample), 8192):
+        near, searched = cells.nearest(sample[at:at + 8192])
+        held += np.bincount(near[:, 0], minlength=cells.n)
+        asked += np.bincount(near[searched], minlength=cells.n)
     scale = max(n, 1) / len(sample)
-    held = np.bincount(sims.argmax(axis=1), minlength=len(centroids)) * scale
-    asked = (sims >= sims.max(axis=1, keepdims=True) - c.margin).sum(axis=0) * scale
-    parts = np.maximum(1, np.ceil(held / (2 * c.shard))).astype(int)
-    blocks = np.maximum(1, np.ceil(asked / c.queries)).astype(int)
+    parts = np.maximum(1, np.ceil(scale * held / (2 * c.shard))).astype(int)
+    blocks = np.maximum(1, np.ceil(scale * asked / c.queries)).astype(int)
     first = np.concatenate([[0], np.cumsum(parts * blocks)])
-    sent = spark.sparkContext.broadcast((centroids, parts, blocks, first))
+    sent = spark.sparkContext.broadcast((cells, parts, blocks, first))
 
-    def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Members go to their part of the nearest cell, in all its blocks; queries to one block of all parts of near cells."""
-        centroids, parts, blocks, first = sent.value
-        for f in frames:
-            if not len(f):
+        cells, parts, blocks, first = sent.value
+        for b in batches:
+            if not b.num_rows:
                 continue
-            x = _matrix(f["vec"], d)
-            cls = f["cls"].to_numpy()
-            s = x @ centroids.T
-            best = s.argmax(axis=1)
-            near = s >= s.max(axis=1, keepdims=True) - c.margin
-            h = (cls.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            rows, target, role = [], [], []
-            for cell in range(len(centroids)):
-                q = np.flatnonzero(near[:, cell])
-                if not len(q):
-                    continue
-                block = (h[q] // np.uint64(64) % np.uint64(blocks[cell])).astype(int)
-                part = (h[q] % np.uint64(parts[cell])).astype(int)
-                for p in range(parts[cell]):
-                    for b in range(blocks[cell]):
-                        member = (best[q] == cell) & (part == p)
-                        query = block == b
-                        keep = member | query
-                        rows.append(q[keep])
-                        target.append(np.full(int(keep.sum()), first[cell] + p * blocks[cell] + b))
-                        role.append(member[keep] + 2 * query[keep])
-            at = np.concatenate(rows)
-            yield pd.DataFrame({"shard": np.concatenate(target), "role": np.concatenate(role), "cls": cls[at], "vec": f["vec"].to_numpy()[at]})
-
-    def search(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("cls", kind="stable")
-        cls, role, x = f["cls"].to_numpy(), f["role"].to_numpy(), _matrix(f["vec"], d)
+            near, searched = cells.nearest(_matrix(b.column("vec").to_pylist(), d))
+            h = (b.column("cls").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            row, probe = np.nonzero(searched)
+            cell = near[row, probe]
+            # Every (part, block) of each near cell; of these only the ones that a member or query belongs to are sent.
+            n_each = parts[cell] * blocks[cell]
+            inner = np.arange(n_each.sum()) - np.repeat(np.cumsum(n_each) - n_each, n_each)
+            row, probe, cell = (np.repeat(v, n_each) for v in (row, probe, cell))
+            member = (probe == 0) & (inner // blocks[cell] == (h[row] % parts[cell].astype(np.uint64)).astype(int))
+            query = inner % blocks[cell] == (h[row] // np.uint64(64) % blocks[cell].astype(np.uint64)).astype(int)
+            keep = np.flatnonzero(member | query)
+            moved = b.take(pa.array(row[keep]))
+            yield pa.RecordBatch.from_pydict({
+                "shard": pa.array((first[cell] + inner)[keep].astype(np.int32)), "role": pa.array((member + 2 * query)[keep].astype(np.int32)),
+                "cls": moved.column("cls"), "ids": moved.column("ids"), "vec": moved.column("vec"),
+            })
+
+    def search(t: pa.Table) -> pa.Table:
+        t = t.sort_by("cls")
+        cls, role, x = t["cls"].to_numpy(), t["role"].to_numpy(), _matrix(t["vec"].to_pylist(), d)
+        ids = t["ids"].combine_chunks()
+        names, (begins, ends) = np.array(ids.values.to_pylist(), object), (ids.offsets.to_numpy()[:-1], ids.offsets.to_numpy()[1:])
+        rank = np.argsort(np.argsort(names, kind="stable"), kind="stable") if len(names) else np.empty(0, int)
         members = np.flatnonzero(role & 1)
-        if not len(members):
-            return pd.DataFrame({"cls": [], "other": [], "similarity": []})
-        index = HNSW(x[members], c.graph)
-        own = np.full(len(f), -1)
-        own[members] = np.arange(len(members))
-        out = []
-        for queries, inside in ((np.flatnonzero(role == 3), True), (np.flatnonzero(role == 2), False)):
-            if not len(queries):
-                continue
-            ids, _ = index.search(x[queries], min(c.k + 4, len(members) + 1), own[queries][:, None] if inside else None)
-            q, j = np.nonzero(ids >= 0)
-            a, b = queries[q], members[ids[q, j]]
-            keep = a != b
-            a, b = a[keep], b[keep]
-            exact = np.einsum("ij,ij->i", x[a].astype(np.float64), x[b].astype(np.float64))
-            out.append(pd.DataFrame({"cls": cls[a], "other": cls[b], "similarity": exact}))
-        return pd.concat(out) if out else pd.DataFrame({"cls": [], "other": [], "similarity": []})
-
-    routed = classes.select("cls", "vec").mapInPandas(route, "shard int, role int, cls long, vec binary")
+        a, b = [np.flatnonzero(role == 3)], [np.flatnonzero(role == 3)]  # a class's own ids are candidates too
+        if len(members):
+            index = HNSW(x[members], c.graph)
+            own = np.full(len(x), -1)
+            own[members] = np.arange(len(members))
+            for queries, inside in ((a[0], True), (np.flatnonzero(role == 2), False)):
+                if len(queries):
+                    found, _ = index.search(x[queries], min(c.k + 3, len(members) + 1), own[queries][:, None] if inside else None)
+                    q, j = np.nonzero(found >= 0)
+                    a.append(queries[q][queries[q] != members[found[q, j]]])
+                    b.append(members[found[q, j]][queries[q] != members[found[q, j]]])
+        a, b = np.concatenate(a), np.concatenate(b)
+        exact = np.ones(len(a))
+        z = x.astype(np.float64)
+        z /= np.linalg.norm(z, axis=1, keepdims=True)
+        for at in range(0, len(a), 65_536):
+            i, j = a[at:at + 65_536], b[at:at + 65_536]
+            exact[at:at + 65_536] = np.where(i == j, 1.0, np.einsum("ij,ij->i", z[i], z[j]))
+        size = (ends - begins)[b]
+        name = np.repeat(begins[b], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        a, exact = np.repeat(a, size), np.repeat(exact, size)
+        order = np.lexsort((rank[name], -exact, a))
+        a, exact, name = a[order], exact[order], name[order]
+        who, begin = np.unique(a, return_index=True)
+        keep = np.arange(len(a)) - np.repeat(begin, np.diff(np.append(begin, len(a)))) <= c.k
+        a, exact, name = a[keep], exact[keep], name[keep]
+        begin = np.searchsorted(a, np.append(who, len(x)))
+        near = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.StructArray.from_arrays([pa.array(-exact), pa.array(names[name].tolist(), pa.string())], ["s", "id"]))
+        return pa.table({"cls": pa.array(cls[who]), "near": near})
+
+    routed = classes.select("cls", "ids", "vec").mapInArrow(route, "shard int, role int, cls long, ids array<string>, vec binary")
     # A range of shards per task, about one: hashing few shards to tasks would pile several on one.
     routed = routed.repartitionByRange(max(runtime.slots(spark), int(first[-1])), "shard")
-    found = routed.groupBy("shard").applyInPandas(search, "cls long, other long, similarity double")
-    best = Window.partitionBy("cls").orderBy(F.desc("similarity"), "other")
-    found = runtime.cut(found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= c.k + 3).drop("r"))
-    # A link serves both ends; the window's limit keeps k + 1 of a hub's links before they are moved.
-    both = found.unionByName(found.select(F.col("other").alias("cls"), F.col("cls").alias("other"), "similarity")).distinct()
-    return both.withColumn("r", F.row_number().over(best)).where(F.col("r") <= c.k + 1).drop("r")
+    found = routed.groupBy("shard").applyInArrow(search, "cls long, near array<struct<s:double,id:string>>")
+    return found.groupBy("cls").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, c.k + 1).alias("near"))
 
 
 def neighbours(vectors: DataFrame, c: NeighbourConfig = NeighbourConfig()) -> DataFrame:
     """vectors(id STRING, embedding ARRAY<FLOAT>) -> (id, other_id, similarity): up to k others of every usable id."""
     spark = vectors.sparkSession
     runtime.ship(spark)
-
-    def unit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if not len(f):
-                continue
-            x = np.stack(f["embedding"].to_numpy()).astype(np.float64)
-            x /= np.abs(x).max(axis=1, keepdims=True)
-            x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("<f4")
-            yield pd.DataFrame({"id": f["id"], "vec": [r.tobytes() for r in x]})
-
-    rows = runtime.cut(
-        usable(vectors, c.dimension).select("id", "embedding").mapInPandas(unit, "id string, vec binary")
-        .withColumn("cls", F.xxhash64("vec"))
-    )
-    ids = rows.groupBy("id").agg(F.max("cls").alias("cls"))
-    ids = runtime.cut(ids)
-    live = ids.select("cls").distinct()
-    classes = runtime.cut(rows.select("cls", "vec").groupBy("cls").agg(F.first("vec").alias("vec")).join(live, "cls", "left_semi"))
-    links = runtime.cut(class_neighbours(classes, c))
+    ids = runtime.cut(unit_rows(vectors, c.dimension, False).groupBy("id").agg(F.max("cls").alias("cls")))
     # Of a class of copies only the smallest k + 1 ids can be anyone's neighbours.
     low = ids.withColumn("r", F.row_number().over(Window.partitionBy("cls").orderBy("id"))).where(F.col("r") <= c.k + 1)
     low = low.groupBy("cls").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    # Candidates of a class: its own copies (similarity 1), and the copies of its neighbours.
-    itself = low.where(F.size("ids") > 1).select("cls", F.col("cls").alias("other"), F.lit(1.0).alias("similarity"))
-    candidates = (
-        links.select("cls", "other", "similarity").unionByName(itself)
-        .join(low.withColumnRenamed("cls", "other"), "other")
-        .groupBy("cls").agg(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("similarity")).alias("s"), i.alias("id"))))).alias("c"))
-        .select("cls", F.array_sort("c").alias("c"))
-    )
+    vec = unit_rows(vectors, c.dimension, True).groupBy("cls").agg(F.first("vec").alias("vec"))
+    classes = runtime.cut(low.join(vec, "cls"))
+    near = class_neighbours(classes, c)
     return (
-        ids.join(candidates, "cls")
-        .select("id", F.explode(F.slice(F.filter("c", lambda x: x["id"] != F.col("id")), 1, c.k)).alias("x"))
+        ids.join(near, "cls")
+        .select("id", F.explode(F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, c.k)).alias("x"))
         .select("id", F.col("x.id").alias("other_id"), (-F.col("x.s")).alias("similarity"))
     )
 
@@ -199,34 +254,24 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recall(vectors: DataFrame, c: NeighbourConfig = NeighbourConfig(), every: int = 100) -> DataFrame:
     """(n_queries, recall): neighbours() of the ids whose hash is divisible by `every`, against all vectors one by one.
 
-    The stated queries are sent to all tasks; each task keeps its k best per query, which are merged.
+    The stated queries, all of them, are sent to the vectors in blocks; each task keeps its best per query, which are merged.
     """
-    spark = vectors.sparkSession
-    found = runtime.cut(neighbours(vectors, c))
-    good = usable(vectors, c.dimension).groupBy("id").agg(F.max("embedding").alias("embedding"))
-    asked = good.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
-    rows = asked.limit(100_000).collect()
-    q = np.array([r["embedding"] for r in rows], np.float64).reshape(-1, c.dimension)
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-    sent = spark.sparkContext.broadcast((np.array([r["id"] for r in rows], object), q))
-
-    def exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = sent.value
-        for f in frames:
-            if not len(f) or not len(ids):
-                continue
-            x = np.stack(f["embedding"].to_numpy()).astype(np.float64)
+    found = runtime.cut(neighbours(vectors, c).where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0))
+    rows = runtime.cut(unit_rows(vectors, c.dimension, True).groupBy("id").agg(F.max(F.struct("cls", "vec")).alias("s")).select("id", "s.vec"))
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _matrix(b.column("vec").to_pylist(), c.dimension).astype(np.float64)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            s = q @ x.T
-            k = min(c.k + 1, len(f))
-            top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-            yield pd.DataFrame({"id": np.repeat(ids, k), "other_id": f["id"].to_numpy()[top.ravel()], "similarity": np.take_along_axis(s, top, 1).ravel()})
-
-    best = Window.partitionBy("id").orderBy(F.desc("similarity"), "other_id")
-    truth = good.mapInPandas(exact, "id string, other_id string, similarity double").where("id <> other_id")
-    truth = truth.withColumn("r", F.row_number().over(best)).where(F.col("r") <= c.k).select("id", "other_id")
-    hit = truth.join(found.select("id", "other_id", F.lit(1).alias("hit")), ["id", "other_id"], "left")
-    return hit.agg(F.countDistinct("id").alias("n_queries"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+            yield pa.RecordBatch.from_pydict({"id": b.column("id"), "vec": pa.array(list(x), pa.list_(pa.float64()))})
+
+    good = rows.mapInArrow(numbers, "id string, vec array<double>")
+    asked = good.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select(F.col("id").alias("query_id"), F.col("vec").alias("qvec"))
+    truth = knn.knn_matrix(good, asked, c.k + 1, c.dimension).where("query_id <> id")
+    best = Window.partitionBy("query_id").orderBy("rank")
+    truth = truth.withColumn("r", F.row_number().over(best)).where(F.col("r") <= c.k).select("query_id", "id")
+    per = metrics.index_recall(truth, found.select(F.col("id").alias("query_id"), F.col("other_id").alias("id")))
+    return per.agg(F.count("*").alias("n_queries"), F.avg("recall").alias("recall"))
 
 
 def p3_recall(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ def brute(rows, k=5):
     return out
 
 
-@pytest.mark.parametrize("config,least", [(p3.NeighbourConfig(), 0.97), (p3.NeighbourConfig(shard=150, queries=120, margin=0.6), 0.93)])
+@pytest.mark.parametrize("config,least", [(p3.NeighbourConfig(), 0.97), (p3.NeighbourConfig(shard=150, queries=120, probes=5, margin=0.6), 0.93), (p3.NeighbourConfig(shard=90, flat=2, probes=5, margin=0.6), 0.9)])
 def test_against_brute_force(table, config, least):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(8, 64))
@@ -47,3 +47,18 @@ def test_few_and_none(table):
     assert p3.neighbours(table([("a", [1.0] * 64, 1, "x")], SCHEMA)).count() == 0
     two = p3.neighbours(table([("a", [1.0] * 64, 1, "x"), ("b", [1.0] * 63 + [0.0], 1, "x")], SCHEMA)).collect()
     assert {(r["id"], r["other_id"]) for r in two} == {("a", "b"), ("b", "a")}
+
+
+def test_a_hot_class_is_held_once(table):
+    v = [1.0] + [0.0] * 63
+    w = [0.9, 0.1] + [0.0] * 62
+    rows = [(f"c{i:03d}", v, 1, "x") for i in range(300)] + [("d", w, 1, "x"), ("d", w, 1, "x"), ("d", None, 1, "x")]
+    got = {(r["id"], r["other_id"]) for r in p3.neighbours(table(rows, SCHEMA)).collect()}
+    assert len(got) == 301 * 5 and {b for a, b in got if a == "d"} == {f"c{i:03d}" for i in range(5)}
+
+
+def test_recall_asks_all_stated_queries(table):
+    rng = np.random.default_rng(4)
+    df = table([(f"v{i}", r.tolist(), 1, "x") for i, r in enumerate(rng.normal(size=(300, 64)).astype(np.float32))], SCHEMA)
+    r = p3.recall(df, every=3).collect()[0]
+    assert 70 <= r["n_queries"] <= 130 and r["recall"] >= 0.95
