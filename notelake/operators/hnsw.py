@@ -60,6 +60,15 @@ class HNSW:
             links = 2 * config.m if l == 0 else config.m
             self._build(members, np.full((n, links), -1, np.int32))
 
+    @classmethod
+    def of_layers(cls, x: np.ndarray, level: np.ndarray, layers: list[np.ndarray], config: HNSWConfig) -> HNSW:
+        """An index from what a file holds: levels of the nodes, and link arrays from the top layer down."""
+        index = cls(x[:0], config)
+        index.x, index.layers = np.ascontiguousarray(x, np.float32), layers
+        index.order = np.argsort(-level, kind="stable")
+        index.members = [index.order[: int((level >= k).sum())] for k in range(len(layers) - 1, -1, -1)]
+        return index
+
     def _build(self, members: np.ndarray, links: np.ndarray) -> None:
         """Add a layer below the present ones."""
         first = min(len(members), 128)

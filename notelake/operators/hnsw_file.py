@@ -17,13 +17,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from notelake import runtime
-from notelake.operators.hnsw import HNSW
+from notelake.operators.hnsw import HNSW, HNSWConfig
 from notelake.sources.schemas import HNSW_NODES
 
 # Fixed values of the format.
 MAGIC, VERSION = 0x484E5357, 1
 HEADER = struct.Struct("<6Ii")
 
+INDEX = "shard long, ids array<string>, data binary"
+
 
 class CorruptFile(ValueError):
     pass
@@ -34,11 +36,10 @@ def encode(index: HNSW, ids: list[str], m: int) -> bytes:
     layers = index.layers[::-1]  # lowest first
     n = len(index.x)
     level = np.zeros(n, int)
-    for k, links in enumerate(layers):
-        level[np.unique(links[links >= 0])] = k
-        level[(links >= 0).any(axis=1)] = k
+    for k, members in enumerate(index.members[::-1]):
+        level[members] = k
     top = int(level.max(initial=0))
-    entry = int(np.flatnonzero(level == top)[0]) if n else -1
+    entry = int(index.order[0]) if n else -1
     parts = [HEADER.pack(MAGIC, VERSION, index.x.shape[1] if n else 0, m, n, top, entry)]
     for node in range(n):
         parts += [uuid.UUID(ids[node]).bytes, struct.pack("<I", level[node]), index.x[node].astype("<f4").tobytes()]
@@ -89,6 +90,74 @@ def decode(data: bytes) -> list[tuple[int, str, int, list[float], list[list[int]
     return rows
 
 
+def load(data: bytes, config: HNSWConfig = HNSWConfig()) -> HNSW:
+    """The index of a file, fit for searching."""
+    rows = decode(data)
+    level = np.array([r[2] for r in rows], int)
+    layers = []
+    for k in range(int(level.max(initial=0)), -1, -1):
+        width = max([1, *(len(r[4][k]) for r in rows if r[2] >= k)])
+        links = np.full((len(rows), width), -1, np.int32)
+        for node, r in enumerate(rows):
+            if r[2] >= k:
+                links[node, : len(r[4][k])] = r[4][k]
+        layers.append(links)
+    return HNSW.of_layers(np.array([r[3] for r in rows], np.float32), level, layers, config)
+
+
+def build(vectors: DataFrame, shard_rows: int, config: HNSWConfig) -> DataFrame:
+    """vectors(id STRING, vec unit) -> a kept index (shard, ids, data): a file's bytes per hash shard, in the shared folder.
+
+    Ids that are no UUIDs are named by one in the file, and stand beside it.
+    """
+    from pyspark.sql import functions as F
+
+    runtime.ship(vectors.sparkSession)
+    shards = max(1, -(-vectors.count() // shard_rows))
+
+    def one(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("id", kind="stable").drop_duplicates("id")
+        ids = f["id"].tolist()
+        index = HNSW(np.stack(f["vec"].to_numpy()).astype(np.float32), config)
+        return pd.DataFrame({"shard": [int(f["shard"].iloc[0])], "ids": [ids], "data": [encode(index, [name_of(i) for i in ids], config.m)]})
+
+    rows = vectors.where("id is not null").select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"))
+    return runtime.cut(rows.groupBy("shard").applyInPandas(one, INDEX))
+
+
+def name_of(key: str) -> str:
+    """The id itself if it is a UUID, else one made from it."""
+    try:
+        return str(uuid.UUID(key)) if len(key) == 36 else str(uuid.uuid5(uuid.NAMESPACE_OID, key))
+    except ValueError:
+        return str(uuid.uuid5(uuid.NAMESPACE_OID, key))
+
+
+def search(index: DataFrame, sent, k: int, config: HNSWConfig = HNSWConfig()) -> DataFrame:
+    """(query_id, id, score): the k nearest of each shard of a kept index for the queries of sent.value (ids, unit vectors)."""
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, q = sent.value
+        for f in frames:
+            for ids, data in zip(f["ids"], f["data"], strict=True):
+                found, scores = load(data, config).search(q.astype(np.float32), k)
+                r, j = np.nonzero(found >= 0)
+                yield pd.DataFrame({"query_id": names[r], "id": np.asarray(ids, object)[found[r, j]], "score": np.round(scores[r, j].astype(float), 12)})
+
+    return index.select("ids", "data").mapInPandas(rows, "query_id string, id string, score double")
+
+
+def nodes_of(index: DataFrame) -> DataFrame:
+    """Rows of the nodes of a kept index; path is the shard."""
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for shard, data in zip(f["shard"], f["data"], strict=True):
+                yield pd.DataFrame([(str(shard), *r) for r in decode(data)], columns=["path", "node", "id", "level", "vec", "links"])
+
+    return index.select("shard", "data").mapInPandas(rows, HNSW_NODES)
+
+
 def write(path: str, data: bytes) -> None:
     """Whole or not at all."""
     part = Path(f"{path}.{os.getpid()}.part")

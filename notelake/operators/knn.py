@@ -1,8 +1,7 @@
 """Exact and approximate nearest vectors behind one call.
 
 Scores are rounded to twelve places, so that equal vectors tie whatever the order of summation; ties go to the smaller
-id everywhere, before every cut. Queries travel to the vectors, never the other way: their
-number is checked, and more of them than `most_queries` are searched block by block.
+id everywhere, before every cut. Queries travel to the vectors, never the other way, `block` of them at a time.
 """
 
 from __future__ import annotations
@@ -17,7 +16,13 @@ from pyspark.sql import functions as F
 
 from notelake import runtime
 from notelake.functions.vector import checked, dot, l2_normalize, norm
-from notelake.operators.hnsw import HNSW, HNSWConfig
+from notelake.operators import hnsw_file
+from notelake.operators.hnsw import HNSWConfig
+
+#: An inverted file's query probes one in so many cells, six at least.
+IVF_SHARE = 12
+#: Vectors per bucket of a table of hyperplanes, about.
+LSH_BUCKET = 300
 
 RESULT = "query_id string, id string, score double"
 
@@ -49,65 +54,94 @@ def knn_expression(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return top_k(pairs.select("query_id", "id", score_of().alias("score")), k, ["query_id"])
 
 
-def knn_matrix(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, most_queries: int = 20_000) -> DataFrame:
-    """Scores by one matrix product per Arrow batch; each task keeps its k best, which are merged."""
+def best_of(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of the k largest numbers of each row, best first; of equal ones the lower column."""
+    k = min(k, s.shape[1])
+    t = np.where(np.isnan(s), -np.inf, s)
+    least = np.partition(t, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+    r, j = np.nonzero(t >= least[:, None])
+    order = np.lexsort((j, -t[r, j], r))
+    r, j = r[order], j[order]
+    keep = np.arange(len(r)) - np.searchsorted(r, np.arange(len(s)))[r] < k
+    return r[keep], j[keep]
+
+
+def _query_blocks(queries: DataFrame, dimension: int, block: int, vec=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and matrix of the queries, a block at a time, so any number of them."""
+    vec = checked(F.col("qvec"), dimension) if vec is None else vec
+    asked = queries.select("query_id", vec.alias("qvec")).orderBy("query_id").toLocalIterator()
+    while rows := list(islice(asked, block)):
+        yield np.array([r["query_id"] for r in rows], object), np.array([r["qvec"] for r in rows], np.float64).reshape(len(rows), dimension)
+
+
+def _few(n: int, width: int) -> Iterator[slice]:
+    """Slices of n rows such that a product with `width` columns has about four million numbers at most."""
+    step = max(1, 4_000_000 // max(width, 1))
+    return (slice(a, a + step) for a in range(0, n, step))
+
+
+def knn_matrix(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, block: int = 20_000) -> DataFrame:
+    """Scores by matrix products per Arrow batch; each task keeps its k best, which are merged."""
     spark = vectors.sparkSession
     runtime.ship(spark)
     if k <= 0:
         return spark.createDataFrame([], RESULT).withColumn("rank", F.lit(0))
-    sent = spark.sparkContext.broadcast(_sent_queries(queries, dimension, most_queries))
-
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = sent.value
-        for f in frames:
-            if not len(f) or not len(ids):
-                continue
-            f = f.sort_values("id", kind="stable")
-            x = np.stack(f["vec"].to_numpy()).astype(np.float64)
-            s = np.round(q @ x.T, 12)
-            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            n = top.shape[1]
-            yield pd.DataFrame({"query_id": np.repeat(ids, n), "id": f["id"].to_numpy()[top.ravel()], "score": np.take_along_axis(s, top, 1).ravel()})
-
-    found = vectors.select(F.col("id").cast("string").alias("id"), checked(F.col("vec"), dimension).alias("vec")).mapInPandas(search, RESULT)
-    return top_k(found, k, ["query_id"])
 
+    def search_for(sent):
+        def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, q = sent.value
+            for f in frames:
+                if not len(f):
+                    continue
+                f = f.sort_values("id", kind="stable")
+                x, names = np.stack(f["vec"].to_numpy()).astype(np.float64), f["id"].to_numpy()
+                for part in _few(len(q), len(x)):
+                    s = np.round(q[part] @ x.T, 12)
+                    r, j = best_of(s, k)
+                    yield pd.DataFrame({"query_id": ids[part][r], "id": names[j], "score": s[r, j]})
 
-def _sent_queries(queries: DataFrame, dimension: int, most_queries: int):
-    """Ids and matrix of the queries, after a check of their number."""
-    rows = queries.select("query_id", checked(F.col("qvec"), dimension).alias("qvec")).orderBy("query_id").limit(most_queries + 1).collect()
-    if len(rows) > most_queries:
-        raise ValueError(f"more than {most_queries} queries; use blocks of queries or an index")
-    return np.array([r["query_id"] for r in rows], object), np.array([r["qvec"] for r in rows], np.float64).reshape(len(rows), dimension)
+        return search
+
+    kept = vectors.select(F.col("id").cast("string").alias("id"), checked(F.col("vec"), dimension).alias("vec"))
+    found = spark.createDataFrame([], RESULT)
+    for sent in _query_blocks(queries, dimension, block):
+        found = found.unionByName(kept.mapInPandas(search_for(spark.sparkContext.broadcast(sent)), RESULT))
+    return top_k(found, k, ["query_id"])
 
 
-def best_groups(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, most_queries: int = 20_000) -> DataFrame:
+def best_groups(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, block: int = 20_000) -> DataFrame:
     """vectors(id, group LONG, vec) -> (query_id, group, score): the k groups with the best single vector.
 
     A group among the k best is among the k best of the batch that holds its best vector, so k per batch suffice.
     """
     spark = vectors.sparkSession
     runtime.ship(spark)
-    sent = spark.sparkContext.broadcast(_sent_queries(queries, dimension, most_queries))
-
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = sent.value
-        for f in frames:
-            if not len(f) or not len(ids):
-                continue
-            f = f.sort_values("group", kind="stable")
-            group, first = np.unique(f["group"].to_numpy(), return_index=True)
-            s = np.maximum.reduceat(np.round(q @ np.stack(f["vec"].to_numpy()).astype(np.float64).T, 12), first, axis=1)
-            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            yield pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "group": group[top.ravel()], "score": np.take_along_axis(s, top, 1).ravel()})
-
-    found = vectors.select("group", checked(F.col("vec"), dimension).alias("vec")).mapInPandas(search, "query_id string, group long, score double")
+
+    def search_for(sent):
+        def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, q = sent.value
+            for f in frames:
+                if not len(f):
+                    continue
+                f = f.sort_values("group", kind="stable")
+                group, first = np.unique(f["group"].to_numpy(), return_index=True)
+                x = np.stack(f["vec"].to_numpy()).astype(np.float64)
+                for part in _few(len(q), len(x)):
+                    s = np.maximum.reduceat(np.round(q[part] @ x.T, 12), first, axis=1)
+                    r, j = best_of(s, k)
+                    yield pd.DataFrame({"query_id": ids[part][r], "group": group[j], "score": s[r, j]})
+
+        return search
+
+    kept = vectors.select("group", checked(F.col("vec"), dimension).alias("vec"))
+    found = spark.createDataFrame([], "query_id string, group long, score double")
+    for sent in _query_blocks(queries, dimension, block):
+        found = found.unionByName(kept.mapInPandas(search_for(spark.sparkContext.broadcast(sent)), "query_id string, group long, score double"))
     return top_k(found.groupBy("query_id", "group").agg(F.max("score").alias("score")), k, ["query_id"], "group")
 
 
-def fit_cells(vectors: DataFrame, cells: int, dimension: int, sample: int = 20_000, seed: int = 17) -> np.ndarray:
-    """Centres of an inverted file, fitted on at most `sample` vectors taken by hash."""
-    n = vectors.count()
+def fit_cells(vectors: DataFrame, n: int, cells: int, dimension: int, sample: int = 20_000, seed: int = 17) -> np.ndarray:
+    """Centres of an inverted file over n vectors, fitted on at most twice `sample` of them, taken by hash."""
     every = max(1, -(-n // sample))
     rows = vectors.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("vec").limit(2 * sample).collect()
     x = np.array([r["vec"] for r in rows], np.float64).reshape(len(rows), dimension)
@@ -116,10 +150,10 @@ def fit_cells(vectors: DataFrame, cells: int, dimension: int, sample: int = 20_0
     rng = np.random.default_rng(seed)
     m = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
     for _ in range(10):
-        near = (x @ m.T - 0.5 * (m * m).sum(axis=1)).argmax(axis=1)
-        for j in range(len(m)):
-            if (near == j).any():
-                m[j] = x[near == j].mean(axis=0)
+        near = np.concatenate([(x[a:a + 4096] @ m.T - 0.5 * (m * m).sum(axis=1)).argmax(axis=1) for a in range(0, len(x), 4096)])
+        total, count = np.zeros_like(m), np.bincount(near, minlength=len(m))
+        np.add.at(total, near, x)
+        m = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], m)
     return m
 
 
@@ -137,48 +171,76 @@ def _filled(found: DataFrame, vectors: DataFrame, queries: DataFrame, k: int) ->
     return found.join(full, "query_id", "left_semi").unionByName(rest.select("query_id", F.col("id").cast("string").alias("id"), "score", "rank"))
 
 
-def ivf_candidates(x: np.ndarray, q: np.ndarray, m: np.ndarray, probes: int, long_above: float) -> Iterator[np.ndarray]:
-    """For each query the rows of x that it meets: those in the `probes` cells nearest to its direction, and the long ones."""
+Met = Iterator[tuple[np.ndarray, np.ndarray]]
+
+
+def _grouped(values: np.ndarray, rows: np.ndarray) -> dict[int, np.ndarray]:
+    """rows by value."""
+    order = np.argsort(values, kind="stable")
+    cuts = np.flatnonzero(np.diff(values[order])) + 1
+    return {int(values[p[0]]): rows[p] for p in np.split(order, cuts)} if len(values) else {}
+
+
+def ivf_meetings(x: np.ndarray, q: np.ndarray, m: np.ndarray, probes: int, long_above: float) -> Met:
+    """(rows of q, rows of x) that meet: queries and vectors of the `probes` cells nearest to each query, and all queries and long vectors."""
     def unit(v: np.ndarray) -> np.ndarray:
         n = np.linalg.norm(v, axis=1, keepdims=True)
         return np.divide(v, n, out=v.copy(), where=n > 0)
 
     offset, long = 0.5 * (m * m).sum(axis=1), np.linalg.norm(x, axis=1) > long_above
-    own = (unit(x) @ m.T - offset).argmax(axis=1)
-    for cells in np.argsort(offset - unit(q) @ m.T, axis=1, kind="stable")[:, :probes]:
-        yield np.flatnonzero(np.isin(own, cells) | long)
+    short = np.flatnonzero(~long)
+    held = _grouped((unit(x[short]) @ m.T - offset).argmax(axis=1), short)
+    probes = min(probes, len(m))
+    asked = np.argsort(offset - unit(q) @ m.T, axis=1, kind="stable")[:, :probes]
+    for cell, rows in _grouped(asked.ravel(), np.repeat(np.arange(len(q)), probes)).items():
+        if cell in held:
+            yield rows, held[cell]
+    if long.any():
+        yield np.arange(len(q)), np.flatnonzero(long)
 
 
-def knn_ivf(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, cells: int = 16, probes: int = 6, block: int = 20_000) -> DataFrame:
-    """A query meets the vectors whose directions lie in its nearest cells, and all long ones."""
+def knn_ivf(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, cells: int | None = None, probes: int | None = None, block: int = 20_000) -> DataFrame:
+    """A query meets the vectors whose directions lie in its nearest cells, and all long ones.
+
+    The cells grow with the square root of the number of vectors, so a query meets a falling share of them.
+    """
     runtime.ship(vectors.sparkSession)
     if k <= 0:
         return vectors.sparkSession.createDataFrame([], RESULT).withColumn("rank", F.lit(0))
-    long_above = _long_above(vectors)
-    m = fit_cells(vectors.where(norm(F.col("vec")) <= long_above).select("id", l2_normalize(F.col("vec")).alias("vec")), cells, dimension)
-    return _best_met(vectors, queries, k, dimension, lambda x, q: ivf_candidates(x, q, m, probes, long_above), block)
+    n, long_above = vectors.count(), _long_above(vectors)
+    cells = cells or max(16, round(n ** 0.5))
+    m = fit_cells(vectors.where(norm(F.col("vec")) <= long_above).select("id", l2_normalize(F.col("vec")).alias("vec")), n, cells, dimension)
+    return _best_met(vectors, queries, k, dimension, lambda x, q: ivf_meetings(x, q, m, probes or max(6, len(m) // IVF_SHARE), long_above), block)
 
 
-def lsh_candidates(x: np.ndarray, q: np.ndarray, planes: np.ndarray, probes: int, long_above: float) -> Iterator[np.ndarray]:
-    """For each query the rows of x that it meets: those in its `probes` likeliest buckets of any table, and the long ones.
+def lsh_meetings(x: np.ndarray, q: np.ndarray, planes: np.ndarray, probes: int, long_above: float) -> Met:
+    """(rows of q, rows of x) that meet: vectors in a query's `probes` likeliest buckets of each table, and all queries and long vectors.
 
     The likeliest other buckets are those across the planes that the query lies nearest to.
     """
     tables, bits, dimension = planes.shape
-    flat, weight = planes.reshape(-1, dimension).T, 1 << np.arange(bits)
-    own = (x @ flat > 0).reshape(len(x), tables, bits) @ weight
+    weight = 1 << np.arange(bits)
     long = np.linalg.norm(x, axis=1) > long_above
-    sides = (np.arange(1 << bits)[:, None] & weight > 0)
-    for row in q:
-        at = (row @ flat).reshape(tables, 1, bits)
-        across = ((sides != (at > 0)) * at ** 2).sum(axis=2)
-        asked = np.zeros((tables, 1 << bits), bool)
-        np.put_along_axis(asked, np.argsort(across, axis=1, kind="stable")[:, :probes], True, 1)
-        yield np.flatnonzero(asked[np.arange(tables), own].any(axis=1) | long)
-
-
-def _best_met(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, meet: Callable[[np.ndarray, np.ndarray], Iterator[np.ndarray]], block: int) -> DataFrame:
-    """The k best of the vectors that each query meets; only these are scored. meet(x, q): for each query the rows of x."""
+    short = np.flatnonzero(~long)
+    flips = min(bits, max(1, int(probes).bit_length() + 2))  # of the planes nearest to the query; others are crossed later
+    sides = (np.arange(1 << flips)[:, None] >> np.arange(flips)) & 1
+    for t in range(tables):
+        held = _grouped((x[short] @ planes[t].T > 0) @ weight, short)
+        at = q @ planes[t].T
+        near = np.argsort(np.abs(at), axis=1, kind="stable")[:, :flips]
+        cost = np.take_along_axis(at ** 2, near, 1) @ sides.T
+        order = np.argsort(cost, axis=1, kind="stable")[:, :probes]
+        crossed = (sides[order] * weight[near][:, None, :]).sum(axis=2)
+        bucket = ((at > 0) @ weight)[:, None] ^ crossed
+        for b, rows in _grouped(bucket.ravel(), np.repeat(np.arange(len(q)), bucket.shape[1])).items():
+            if b in held:
+                yield rows, held[b]
+    if long.any():
+        yield np.arange(len(q)), np.flatnonzero(long)
+
+
+def _best_met(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, meet: Callable[[np.ndarray, np.ndarray], Met], block: int) -> DataFrame:
+    """The k best of the vectors that each query meets; only these are scored. meet(x, q): rows of q and rows of x that meet."""
     spark = vectors.sparkSession
     kept = vectors.select(F.col("id").cast("string").alias("id"), checked(F.col("vec"), dimension).alias("vec"))
 
@@ -190,53 +252,63 @@ def _best_met(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, me
                     continue
                 f = f.sort_values("id", kind="stable")
                 x, names = np.stack(f["vec"].to_numpy()).astype(np.float64), f["id"].to_numpy()
-                out = []
-                for i, row, met in zip(ids, q, meet(x, q), strict=True):
-                    s = np.round(x[met] @ row, 12)
-                    top = np.argsort(-s, kind="stable")[:k]
-                    out.append(pd.DataFrame({"query_id": i, "id": names[met[top]], "score": s[top]}))
-                yield pd.concat(out)
+                pairs, scores = [np.empty(0, np.int64)], [np.empty(0)]
+                for a, b in meet(x, q):
+                    for part in _few(len(a), len(b)):
+                        s = np.round(q[a[part]] @ x[b].T, 12)
+                        r, j = best_of(s, k)
+                        pairs.append(a[part][r] * len(x) + b[j])
+                        scores.append(s[r, j])
+                met, first = np.unique(np.concatenate(pairs), return_index=True)  # tables of buckets may meet twice
+                s, a, b = np.concatenate(scores)[first], met // len(x), met % len(x)
+                order = np.lexsort((b, -s, a))
+                a, b, s = a[order], b[order], s[order]
+                keep = np.arange(len(a)) - np.searchsorted(a, np.arange(len(q)))[a] < k
+                yield pd.DataFrame({"query_id": ids[a[keep]], "id": names[b[keep]], "score": s[keep]})
 
         return search
 
-    asked = queries.select("query_id", checked(F.col("qvec"), dimension).alias("qvec")).orderBy("query_id").toLocalIterator()
     found = spark.createDataFrame([], RESULT)
-    while rows := list(islice(asked, block)):  # a block of queries at a time, so any number of them
-        sent = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows], object), np.array([r["qvec"] for r in rows], np.float64).reshape(len(rows), dimension)))
-        found = found.unionByName(kept.mapInPandas(search_for(sent), RESULT))
+    for sent in _query_blocks(queries, dimension, block):
+        found = found.unionByName(kept.mapInPandas(search_for(spark.sparkContext.broadcast(sent)), RESULT))
     return _filled(top_k(found, k, ["query_id"]), vectors, queries, k)
 
 
-def knn_lsh(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, tables: int = 12, bits: int = 6, seed: int = 23, probes: int = 3, block: int = 20_000) -> DataFrame:
-    """Random hyperplanes: a query meets the vectors of its likeliest buckets in any table, and all long ones."""
+def knn_lsh(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, tables: int = 12, bits: int | None = None, seed: int = 23, probes: int | None = None, block: int = 20_000) -> DataFrame:
+    """Random hyperplanes: a query meets the vectors of its likeliest buckets in any table, and all long ones.
+
+    The bits grow with the logarithm of the number of vectors, so buckets stay as large; the probes grow with the bits.
+    """
     runtime.ship(vectors.sparkSession)
     if k <= 0:
         return vectors.sparkSession.createDataFrame([], RESULT).withColumn("rank", F.lit(0))
+    bits = bits or lsh_bits(vectors.count())
     planes, long_above = np.random.default_rng(seed).normal(size=(tables, bits, dimension)), _long_above(vectors)
-    return _best_met(vectors, queries, k, dimension, lambda x, q: lsh_candidates(x, q, planes, probes, long_above), block)
+    return _best_met(vectors, queries, k, dimension, lambda x, q: lsh_meetings(x, q, planes, probes or lsh_probes(bits), long_above), block)
+
+
+def lsh_bits(n: int) -> int:
+    return min(24, max(6, round(np.log2(max(n, 1) / LSH_BUCKET))))
+
 
+def lsh_probes(bits: int) -> int:
+    return 3 + 3 * (bits - 6)
 
-def knn_hnsw(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, shard_rows: int = 20_000, config: HNSWConfig = HNSWConfig(), most_queries: int = 20_000) -> DataFrame:
-    """One graph per hash shard of unit vectors; every query searches every shard, and the shards' results are merged."""
+
+def knn_hnsw(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, shard_rows: int = 20_000, config: HNSWConfig = HNSWConfig(), block: int = 20_000) -> DataFrame:
+    """One graph per hash shard of unit vectors; every query searches every shard, and the shards' results are merged.
+
+    The graphs are built once and kept as files in the shared folder; each block of queries searches them there.
+    """
     spark = vectors.sparkSession
     runtime.ship(spark)
-    shards = max(1, -(-vectors.count() // shard_rows))
-    rows = queries.select("query_id", l2_normalize(F.col("qvec")).alias("qvec")).orderBy("query_id").limit(most_queries + 1).collect()
-    if len(rows) > most_queries:
-        raise ValueError(f"more than {most_queries} queries")
-    sent = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows], object), np.array([r["qvec"] for r in rows], np.float32).reshape(len(rows), dimension)))
-
-    def search(f: pd.DataFrame) -> pd.DataFrame:
-        ids, q = sent.value
-        f = f.sort_values("id", kind="stable")
-        found, scores = HNSW(np.stack(f["vec"].to_numpy()).astype(np.float32), config).search(q, k)
-        r, j = np.nonzero(found >= 0)
-        return pd.DataFrame({"query_id": ids[r], "id": f["id"].to_numpy()[found[r, j]], "score": scores[r, j].astype(float)})
-
-    if k <= 0 or not rows:
+    if k <= 0:
         return spark.createDataFrame([], RESULT).withColumn("rank", F.lit(0))
-    unit = vectors.select(F.col("id").cast("string").alias("id"), l2_normalize(F.col("vec")).alias("vec"), F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"))
-    return top_k(unit.groupBy("shard").applyInPandas(search, RESULT), k, ["query_id"])
+    index = hnsw_file.build(vectors.select(F.col("id").cast("string").alias("id"), l2_normalize(checked(F.col("vec"), dimension)).alias("vec")), shard_rows, config)
+    found = spark.createDataFrame([], RESULT)
+    for sent in _query_blocks(queries, dimension, block, l2_normalize(checked(F.col("qvec"), dimension))):
+        found = found.unionByName(hnsw_file.search(index, spark.sparkContext.broadcast(sent), k, config))
+    return top_k(found, k, ["query_id"])
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, strategy: str = "exact") -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +9,7 @@ from notelake.functions import text as T
 from notelake.functions import vector as V
 from notelake.functions.text_size import CJK_RANGES, size_of
 from notelake.operators import embed, generators, hnsw_file, knn, metrics, rag, search, store
-from notelake.operators.hnsw import HNSW, HNSWConfig
+from notelake.operators.hnsw import HNSWConfig
 from notelake.plans.catalogue import query
 from notelake.runtime import read, ship
 from notelake.sources import tables
@@ -320,22 +317,18 @@ def ann_agreement(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("index_stats")
+@query("index_stats", _with(_V) + f"""SELECT count(*) AS live_count, 0::BIGINT AS tombstone_count, true AS has_links, count(*) * {4 * DIM + 16} AS least_bytes,
+  true AS links_within_bound FROM v""")
 def index_stats(spark, d):
-    """Statistics of an index file of the reference cases, written and read back."""
-    rows = _cases(spark, d).select("query_id", V.l2_normalize(F.col("qvec")).alias("qvec")).orderBy("query_id").limit(10_000).collect()
-    import uuid
-
-    index = HNSW(np.array([r["qvec"] for r in rows], np.float32).reshape(len(rows), DIM), HNSWConfig())
-    ids = [str(uuid.uuid5(uuid.NAMESPACE_OID, r["query_id"])) for r in rows]
-    folder = tempfile.mkdtemp(prefix="notelake_index_") if spark.sparkContext.master.startswith("local[") else None
-    data = hnsw_file.encode(index, ids, 12)
-    if folder is None:  # no folder that all nodes share by contract: decode where it was built
-        nodes = spark.createDataFrame([("memory", *r) for r in hnsw_file.decode(data)], hnsw_file.HNSW_NODES)
-    else:
-        hnsw_file.write(f"{folder}/index.hnsw", data)
-        nodes = hnsw_file.read(spark, folder)
-    return hnsw_file.stats(nodes)
+    """Statistics of the index files of all chunk vectors, a shard each, built, kept and read back; links by their bounds."""
+    c = HNSWConfig()
+    vectors = _vectors(spark, d).select("id", V.l2_normalize(F.col("vec")).alias("vec"))
+    s = hnsw_file.stats(hnsw_file.nodes_of(hnsw_file.build(vectors, 20_000, c)))
+    links = F.col("total_links")
+    return s.select(
+        "live_count", "tombstone_count", (links > 0).alias("has_links"), (F.col("approximate_bytes") - 4 * links).alias("least_bytes"),
+        (links <= F.col("live_count") * F.lit(3 * c.m)).alias("links_within_bound"),
+    )
 
 
 # ---- embedding ----
