@@ -8,7 +8,7 @@ enough of an item's windows are then checked exactly: all windows of the item on
 order, and the item's words that the chain covers are counted. Matched stretches are merged to spans.
 
 The items are a fixed held-out set and go to every task; pages are cut into shards by symbols, so neither
-a hot newspaper nor a long page matters: a page longer than a shard is cut with an overlap.
+a hot newspaper nor a long page matters: a page longer than a shard is searched in pieces and checked as a whole.
 
 Null or empty page texts and items leak nothing. Boxes that are null or don't fit the lines leave scan order.
 Repeated pages are reported under each id; empty tables give an empty result.
@@ -39,7 +39,8 @@ class LeakConfig:
     least_words: float = 0.5    # share of an item's words that must stand on the page
     density: float = 0.85       # matched share of the passage, from its first to its last matched symbol
     shard_symbols: int = 900_000
-    gap_symbols: int = 1_500    # symbols between two parts of a passage (adverts, another column)
+    gap_symbols: int = 1_500    # symbols without a match that begin a new part of a passage (after an advert, another column)
+    part_words: int = 6         # words that a part must hold densely to be joined with others; fewer are turns of phrase
 
 
 def _symbols_of(cp: int) -> list[int]:
@@ -189,28 +190,34 @@ def check_item(item: Item, page: np.ndarray, c: LeakConfig) -> tuple[int, np.nda
     positions = np.repeat(hit, reps)
     inner = np.arange(len(positions)) - np.repeat(np.cumsum(reps) - reps, reps)
     offsets = order[np.repeat(lo[hit], reps) + inner]
-    best: tuple[int, np.ndarray] | None = None
-    # Parts of a passage lie near each other; a long empty stretch starts a new one.
+    # Parts of a passage lie near each other; a long empty stretch (an advert, another column) starts a new one. Each is
+    # chained by itself, then those that hold some words of the item densely are chained together, however far apart.
     breaks = np.flatnonzero(np.diff(positions) > c.gap_symbols) + 1
+    chains = []
     for part in np.split(np.arange(len(positions)), breaks):
-        if len(part) < 0.1 * len(item.codes):
-            continue
         chain = part[_increasing(offsets[part], positions[part])]
-        o, p = offsets[chain], positions[chain]
-        covered = np.zeros(len(item.symbols) + 1, np.int64)
-        np.add.at(covered, o, 1)
-        np.add.at(covered, o + w, -1)
-        covered = np.cumsum(covered[:-1]) > 0
-        # Misread letters: a short hole between matches on (nearly) one diagonal counts as matched.
-        for a, b in zip(range(len(o) - 1), range(1, len(o)), strict=True):
-            hole = o[b] - (o[a] + w)
-            if 0 < hole <= w + 2 and abs((p[b] - p[a]) - (o[b] - o[a])) <= 2:
-                covered[o[a] + w:o[b]] = True
-        words = _dense_words(item, covered, c.density)
-        if words and (best is None or words > best[0]):
-            matched = np.unique((p[:, None] + np.arange(w)).ravel())
-            best = (words, matched)
-    return best
+        chains.append((_words_in(item, offsets[chain], positions[chain], c), chain))
+    solid = [chain for words, chain in chains if words >= min(c.part_words, c.least_words * item.n_words)]
+    if len(solid) > 1:
+        every = np.sort(np.concatenate(solid))
+        chain = every[_increasing(offsets[every], positions[every])]
+        chains.append((_words_in(item, offsets[chain], positions[chain], c), chain))
+    words, chain = max(chains, key=lambda x: x[0])
+    return (words, np.unique((positions[chain][:, None] + np.arange(w)).ravel())) if words else None
+
+
+def _words_in(item: Item, o: np.ndarray, p: np.ndarray, c: LeakConfig) -> int:
+    """Words of the item that a chain of windows (offsets o in the item, p on the page) holds densely."""
+    w = c.window
+    covered = np.zeros(len(item.symbols) + 1, np.int64)
+    np.add.at(covered, o, 1)
+    np.add.at(covered, o + w, -1)
+    covered = np.cumsum(covered[:-1]) > 0
+    # Misread letters: a short hole between matches on (nearly) one diagonal counts as matched.
+    hole = o[1:] - (o[:-1] + w)
+    for a in np.flatnonzero((hole > 0) & (hole <= w + 2) & (np.abs(np.diff(p) - np.diff(o)) <= 2)):
+        covered[o[a] + w:o[a + 1]] = True
+    return _dense_words(item, covered, c.density)
 
 
 def _dense_words(item: Item, covered: np.ndarray, density: float) -> int:
@@ -243,23 +250,24 @@ def find_leaks(pages: pd.DataFrame, items: list[Item], c: LeakConfig) -> Iterato
     if not len(telling):
         return
     patterns = np.stack([(telling >> (5 * (c.window - 1 - j))) & 31 for j in range(c.window)], axis=1)
-    # Pieces of at most a shard's symbols; a page that is longer than a shard goes in overlapping pieces.
-    pieces: list[tuple[int, int, np.ndarray]] = []
+    # Pieces of at most a shard's symbols; a page that is longer than a shard goes in pieces that share a window.
+    pieces: list[tuple[int, np.ndarray]] = []
+    step = c.shard_symbols - c.window + 1
     for k, (s, _) in enumerate(streams):
-        for at in range(0, max(len(s), 1), c.shard_symbols - 8_000):
-            pieces.append((k, at, s[at:at + c.shard_symbols]))
-    start = 0
+        for at in range(0, max(len(s) - c.window + 1, 1), step):
+            pieces.append((k, s[at:at + c.shard_symbols]))
+    start, kept = 0, np.empty(0, np.int64)
     while start < len(pieces):
         end, total = start, 0
-        while end < len(pieces) and (end == start or total + len(pieces[end][2]) + 1 <= c.shard_symbols):
-            total += len(pieces[end][2]) + 1
+        while end < len(pieces) and (end == start or total + len(pieces[end][1]) + 1 <= c.shard_symbols):
+            total += len(pieces[end][1]) + 1
             end += 1
         shard = pieces[start:end]
-        lengths = np.array([len(s) + 1 for _, _, s in shard])
+        lengths = np.array([len(s) + 1 for _, s in shard])
         bounds = np.concatenate([[0], np.cumsum(lengths)])
         # A symbol stands between two pages; windows across it are dropped below.
         text = np.full(bounds[-1], 31, np.uint8)
-        for (_, _, s), at in zip(shard, bounds, strict=False):
+        for (_, s), at in zip(shard, bounds, strict=False):
             text[at:at + len(s)] = s
         index = FMIndex(text)
         lo, hi = index.search(patterns)
@@ -270,27 +278,37 @@ def find_leaks(pages: pd.DataFrame, items: list[Item], c: LeakConfig) -> Iterato
         window = np.repeat(hit, reps)
         piece = np.searchsorted(bounds, at, side="right") - 1
         inside = at + c.window <= bounds[piece] + lengths[piece] - 1
-        piece, window = piece[inside], window[inside]
-        # Distinct windows by piece and item.
-        pairs = np.unique(piece * len(telling) + window)
-        piece, window = pairs // len(telling), pairs % len(telling)
-        counts = np.zeros((len(shard), len(items)), np.int32)
-        n_owners = first[window + 1] - first[window]
-        ends = np.cumsum(n_owners)
-        at = 0
-        while at < len(window):  # blocks, as a window may have many owners
-            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 4_000_000, "right")))
-            n = n_owners[at:stop]
-            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            np.add.at(counts, (np.repeat(piece[at:stop], n), owners[np.repeat(first[window[at:stop]], n) + inner]), 1)
-            at = stop
-        for k, i in zip(*np.nonzero((counts >= need) & (counts > 0)), strict=True):
+        page = np.array([k for k, _ in shard])[piece[inside]]
+        # Distinct windows by page; those of a page that goes on in the next shard wait for the rest of it.
+        kept = np.unique(np.concatenate([kept, page * len(telling) + window[inside]]))
+        start = end
+        whole = kept // len(telling) != pieces[start][0] if start < len(pieces) else np.ones(len(kept), bool)
+        pairs, kept = kept[whole], kept[~whole]
+        for k, i in _candidates(pairs // len(telling), pairs % len(telling), first, owners, need):
             item = items[i]
-            doc, begin, symbols = shard[k]
-            found = check_item(item, symbols, c)
+            found = check_item(item, streams[k][0], c)
             if found and found[0] >= c.least_words * item.n_words:
-                yield ids[doc], item.item_id, found[0], item.n_words, _spans(streams[doc][1], found[1] + begin)
-        start = end
+                yield ids[k], item.item_id, found[0], item.n_words, _spans(streams[k][1], found[1])
+
+
+def _candidates(page: np.ndarray, window: np.ndarray, first: np.ndarray, owners: np.ndarray, need: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(page, item) with as many of the item's windows as it needs; counted sparsely, in blocks, as a window may have many owners."""
+    n_owners = first[window + 1] - first[window]
+    ends = np.cumsum(n_owners)
+    keys, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    at = 0
+    while at < len(window):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 4_000_000, "right")))
+        n = n_owners[at:stop]
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        key, count = np.unique(np.repeat(page[at:stop], n) * len(need) + owners[np.repeat(first[window[at:stop]], n) + inner], return_counts=True)
+        keys.append(key)
+        counts.append(count)
+        at = stop
+    key, which = np.unique(np.concatenate(keys), return_inverse=True)
+    count = np.bincount(which, weights=np.concatenate(counts), minlength=len(key))
+    for x in key[count >= need[key % len(need)]]:
+        yield int(x // len(need)), int(x % len(need))
 
 
 def _telling(items: list[Item], c: LeakConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -347,9 +365,9 @@ def leaks(documents: DataFrame, eval_items: DataFrame, c: LeakConfig = LeakConfi
             found = [(d, i, w, n, [a for a, _ in s], [b for _, b in s]) for d, k, w, n, s in find_leaks(f, items, c) for i in sent.value[k][1]]
             yield pd.DataFrame(found, columns=["doc_id", "item_id", "words_found", "item_words", "span_starts", "span_ends"])
 
-    # Round-robin: pages of a newspaper that holds a third of all rows spread over all tasks.
-    pages = documents.where("text is not null and doc_id is not null").select("doc_id", "text", *(F.col("lines")[k].alias(k) for k in ("x0", "x1", "y0"))).repartition(runtime.slots(spark))
-    return pages.mapInPandas(search, "doc_id long, item_id long, words_found int, item_words int, span_starts array<long>, span_ends array<long>")
+    # Pages are searched where they are read, so a newspaper that holds a third of all rows is like any other.
+    pages = documents.where("text is not null and doc_id is not null").select("doc_id", "text", *(F.col("lines")[k].alias(k) for k in ("x0", "x1", "y0")))
+    return runtime.spread(pages).mapInPandas(search, "doc_id long, item_id long, words_found int, item_words int, span_starts array<long>, span_ends array<long>")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
