@@ -22,6 +22,8 @@ CASES = [
     ['"रुको। साइकिल ले जाओ।" नाविक ने कहा।', "डॉ. साहब ने टोकरी देखी।"],
     ["«توقف. خذ السلم معك» قال النجار.", "هل أعاد الفريق الحقيبة؟", "رأى د. الضيف القارب."],
     ["กัปตันย้ายโซฟา 38 อันเมื่อวันจันทร์", "เพื่อนบ้านซ่อมปั๊มน้ำว่างหรือยังครับ", "ค่าเพิ่มจาก 49.7 เป็น 51.2 ก่อนพายุ"],
+    ["See http://a.example/" + "x" * 300 + "/B.C?d=1 today.", "It leaks."],
+    ["Write to " + "A." * 50 + "LEE@" + "B." * 60 + "EXAMPLE now.", "It leaks."],
     ["My page is www.a.example/x.html?id=4 today.", "Write to A.LEE@B.EXAMPLE now.", "Version 4.1.2 is in notes.v2.txt."],
 ]
 
@@ -51,3 +53,10 @@ def test_long_quotes_and_brackets_stay_whole(table, marks):
     want = [f"The clerk said {marks[0]}{inside}{marks[1]} and left.", "It leaks."]
     rows = sentences(table([(1, " ".join(want))], "k long, t string"), "k", "t").orderBy("start_pos").collect()
     assert [r["sentence"] for r in rows] == want
+
+
+def test_placeholders_of_the_text_itself_stay(table):
+    text = "One \ue002 two. Mr. Three \ue000 \ue001 four! " + " " * 60 + "\n" + " " * 60 + "12. five"
+    rows = sentences(table([(1, text)], "k long, t string"), "k", "t").orderBy("start_pos").collect()
+    assert all(text[r["start_pos"]:r["end_pos"]] == r["sentence"] for r in rows)
+    assert rows[0]["sentence"] == "One \ue002 two." and rows[-1]["sentence"] == "12. five"
