@@ -190,8 +190,34 @@ def check_item(item: Item, page: np.ndarray, c: LeakConfig) -> tuple[int, np.nda
     positions = np.repeat(hit, reps)
     inner = np.arange(len(positions)) - np.repeat(np.cumsum(reps) - reps, reps)
     offsets = order[np.repeat(lo[hit], reps) + inner]
-    # Parts of a passage lie near each other; a long empty stretch (an advert, another column) starts a new one. Each is
-    # chained by itself, then those that hold some words of the item densely are chained together, however far apart.
+    firm = _firm(offsets, positions, w)
+    found = _passage(item, offsets[firm], positions[firm], c)
+    if found[0] < c.least_words * item.n_words and not firm.all():
+        found = _passage(item, offsets, positions, c)  # so many misread letters that no two windows' length stays whole
+    return found if found[0] else None
+
+
+def _firm(offsets: np.ndarray, positions: np.ndarray, w: int) -> np.ndarray:
+    """Matches in runs of two windows' length on one diagonal; single words that return elsewhere on a page are none."""
+    diagonal = positions - offsets
+    order = np.lexsort((positions, diagonal))
+    d, p = diagonal[order], positions[order]
+    run = np.concatenate([[0], np.cumsum((np.diff(d) != 0) | (np.diff(p) > 2 * w + 2))])
+    first = np.searchsorted(run, np.arange(run[-1] + 1))
+    last = np.append(first[1:], len(run)) - 1
+    out = np.empty(len(order), bool)
+    out[order] = (p[last] - p[first] + w >= 2 * w)[run]
+    return out
+
+
+def _passage(item: Item, offsets: np.ndarray, positions: np.ndarray, c: LeakConfig) -> tuple[int, np.ndarray]:
+    """(words, page symbols) of the best passage that these matches make.
+
+    Parts of a passage lie near each other; a long empty stretch (an advert, another column) starts a new one. Each part is
+    chained by itself, then those that hold some words of the item densely are chained together, however far apart.
+    """
+    if not len(positions):
+        return 0, positions
     breaks = np.flatnonzero(np.diff(positions) > c.gap_symbols) + 1
     chains = []
     for part in np.split(np.arange(len(positions)), breaks):
@@ -203,7 +229,7 @@ def check_item(item: Item, page: np.ndarray, c: LeakConfig) -> tuple[int, np.nda
         chain = every[_increasing(offsets[every], positions[every])]
         chains.append((_words_in(item, offsets[chain], positions[chain], c), chain))
     words, chain = max(chains, key=lambda x: x[0])
-    return (words, np.unique((positions[chain][:, None] + np.arange(w)).ravel())) if words else None
+    return words, np.unique((positions[chain][:, None] + np.arange(c.window)).ravel())
 
 
 def _words_in(item: Item, o: np.ndarray, p: np.ndarray, c: LeakConfig) -> int:

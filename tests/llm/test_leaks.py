@@ -112,3 +112,27 @@ def test_items_that_share_their_windows(table):
     ev = [(i, item, 0) for i in range(6)] + [(10 + i, f"{shared} {e}", 0) for i, e in enumerate(ends)] + [(20, other, 0)]
     got = {(r["doc_id"], r["item_id"]) for r in p7.leaks(table(docs, DOCS), table(ev, ITEMS)).collect()}
     assert got == {(1, i) for i in range(6)} | {(2, 10 + i) for i in range(5)} | {(4, 20)}
+
+
+def test_parts_of_a_passage_far_apart(table):
+    """A passage of which 60 words of 100 stand on the page, with an advert of any length between."""
+    letters = random.Random(5)
+    unlike = lambda n: " ".join("".join(letters.choice("bcdfgklmnprstvz") + letters.choice("aeiou") for _ in range(4)) for _ in range(n))
+    item = unlike(100)
+    w = item.split()
+    a, b = " ".join(w[20:50]), " ".join(w[50:80])
+    for n in (100, 400, 2000):
+        docs = [(1, f"{unlike(30)} {a} {unlike(n)} {b} {unlike(30)}", None, 1, 1), (2, f"{unlike(30)} {b} {unlike(n)} {a}", None, 1, 1), (3, f"{unlike(30)} {a} {unlike(n)}", None, 1, 1)]
+        got = {(r["doc_id"], r["item_id"]) for r in p7.leaks(table(docs, DOCS), table([(7, item, 1)], ITEMS)).collect()}
+        assert got == {(1, 7)}
+
+
+def test_a_passage_across_the_shards_of_a_page():
+    import pandas as pd
+
+    letters = random.Random(6)
+    unlike = lambda n: " ".join("".join(letters.choice("bcdfgklmnprstvz") + letters.choice("aeiou") for _ in range(4)) for _ in range(n))
+    item, c = unlike(200), p7.LeakConfig(shard_symbols=1_000)
+    text = unlike(500) + " " + item + " " + unlike(500)
+    pages = pd.DataFrame({"doc_id": [5, 6], "text": [text, unlike(30)], "x0": [None, None], "x1": [None, None], "y0": [None, None]})
+    assert [f[:4] for f in p7.find_leaks(pages, [p7.Item(1, item, c.window)], c)] == [(5, 1, 200, 200)]
