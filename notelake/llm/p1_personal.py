@@ -1,12 +1,13 @@
 """Problem 1: personal data in running text, found by a character-level BiLSTM with CRF transitions.
 
 The tagger (see tagger.py; trained by p1_training.py, its weights are p1_weights.npz) labels every character of a text;
-overlapping windows are blended and one path is decoded over the whole text. What it tags is then checked exactly:
-a mention's ends are set by the form of its kind, titles and possessives are left out, and mentions that can't be of
-their kind are dropped. Mentions come out as rows, or replaced by typed placeholders in the otherwise unchanged text.
+overlapping windows are blended and one path is decoded over the whole text. Of what it tags, the ends are moved to those
+of words, marks around, titles and possessives are left out, and what can't be of its kind (a phone without digits) is
+dropped; no pattern adds a mention. Mentions come out as rows, or replaced by typed placeholders in the otherwise
+unchanged text.
 
-Null, empty and blank texts hold nothing and come out as they are. Texts above 200,000 code points are read in parts cut
-at line ends. Repeated rows of a note count once; further columns don't matter; empty tables give empty results.
+Null, empty and blank texts hold nothing and come out as they are. Texts above 200,000 code points are read in parts that
+overlap by 2,000. Repeated rows of a note count once; further columns don't matter; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -21,18 +22,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from notelake import runtime
-from notelake.llm import p1_training as forms
 from notelake.llm.tables import distinct_notes
 from notelake.llm.tagger import Tagger
 
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
-_FORMS = {"email": forms.EMAIL, "phone": forms.PHONE, "id_number": forms.ID, "address": forms.ADDRESS}
-#: Words that announce a person and titles, neither part of a name.
-_TITLE = re.compile(r"^(?:(?:Ask|Contact|Kontakt|According to|Bei|Demander à|We gave|From|To)\s?:?[ 　]+)?(?:(?:Mrs?|Ms|Dr|Herrn?|Frau|Mme|Mlle)\.?[ 　]+)*")
-#: In French "M." is a title, elsewhere an initial.
-_FRENCH_BEFORE, _FRENCH_AFTER = re.compile(r"(?:Contact : |Demander à |[Dd]e la part de )$"), re.compile(r" (?:a emprunté|pour l[ae] )")
+# Titles and honorifics, no part of a name.
+_TITLE = re.compile(r"^(?:(?:Mrs?|Ms|Miss|Dr|Prof|Herrn?|Frau|Mme|Mlle)\b\.?[ 　]+)+")
 _HONORIFIC = re.compile(r"[ 　]?(?:さん|様|氏|先生|くん|ちゃん)$")
-PART = 200_000
+#: A part of a long text, and what it shares with the next.
+PART, SHARED = 200_000, 2_000
 #: Windows of decoding, longer than those of training: less text is read twice.
 WINDOW, STRIDE = 256, 216
 
@@ -51,81 +49,72 @@ def _tagger(data: bytes) -> Tagger:
     return t
 
 
+def _runs_on(a: str, b: str) -> bool:
+    """Whether a word or a number goes on from sign a to sign b."""
+    plain = lambda c: c.isalnum() and (c < "\u0250" or "０" <= c <= "９")
+    return plain(a) and plain(b)
+
+
 def checked(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
-    """Exact ends of a tagged mention, or None if it can't be one."""
-    if kind in _FORMS:
-        lo, hi = max(0, start - 40), min(len(text), end + 40)
-        best = None
-        for m in _FORMS[kind].finditer(text, lo, hi):
-            shared = min(m.end(), end) - max(m.start(), start)
-            if shared > 0 and (best is None or shared > best[0]):
-                best = (shared, m.start(), m.end())
-        if best and 2 * best[0] >= end - start:
-            return best[1], best[2]
+    """Ends of a tagged mention moved to those of its words, without marks around and titles; None if it can't be of its kind."""
+    while end < len(text) and _runs_on(text[end - 1], text[end]):
+        end += 1
+    while start and _runs_on(text[start - 1], text[start]):
+        start -= 1
     piece = text[start:end]
-    lead = len(piece) - len(piece.lstrip(" \t　,.:;、。「（(\"“"))
-    start, piece = start + lead, piece[lead:]
-    piece = piece.rstrip(" \t　,:;、。」）)\"”\n\r")
-    digits = sum(ch.isdigit() for ch in piece)
+    lead = len(piece) - len(piece.lstrip(" \t\r\n　,.:;、。：！!?？-–—」「\"“”„<>«»・*/" + ("(（" if kind not in ("phone", "address") else "")))
+    start, piece = start + lead, piece[lead:].rstrip(" \t\r\n　,:;、。：！!?？「」\"“”„<>«»/(（" + ("" if kind in ("phone", "email") else ")）"))
     if kind == "name":
-        t = _TITLE.match(piece)
-        if t:  # always, if only of length 0
-            start, piece = start + t.end(), piece[t.end():]
+        title = _TITLE.match(piece)
+        start, piece = (start + title.end(), piece[title.end():]) if title else (start, piece)
         piece = _HONORIFIC.sub("", re.sub(r"['’]s?$", "", piece))
-        if not piece or digits or "\n" in piece or not any(ch.isalpha() for ch in piece) or len(piece) < 2:
-            return None
-        if piece.isascii() and not re.search(r"[A-Z]", piece):
-            return None
-        # A Latin name isn't cut within a word.
-        while start + len(piece) < len(text) and piece[-1].isascii() and piece[-1].isalpha() and text[start + len(piece)].isascii() and text[start + len(piece)].isalpha():
-            piece = text[start:start + len(piece) + 1]
-        while start and piece[0].isascii() and piece[0].isalpha() and text[start - 1].isascii() and text[start - 1].isalpha():
-            start -= 1
-            piece = text[start:start + len(piece) + 1]
-        initial = re.search(r"(?<![A-Za-z])[A-Z]\. $", text[max(0, start - 4):start])
-        if initial and piece[0].isascii():
-            start -= 3
-            piece = text[start:start + len(piece) + 3]
-        if piece.startswith("M. ") and (_FRENCH_BEFORE.search(text[max(0, start - 20):start]) or _FRENCH_AFTER.match(text, start + len(piece))):
-            start, piece = start + 3, piece[3:]
         if piece.endswith(".") and not re.search(r"\b[A-Z]\.$", piece):
             piece = piece[:-1]
-    else:
-        piece = piece.rstrip(".")
-        least = {"email": 0, "phone": 7, "id_number": 6, "address": 1}[kind]
-        if kind == "address" and not (re.search(r"[\s,、市]", piece) and re.search(r"\d", piece)):
-            return None
-        if digits < least or (kind == "email" and not re.search(r"@|＠|\bat\b", piece)):
+        if len(piece) < 2 or any(c.isdigit() or c in "\r\n@" for c in piece) or (piece.isascii() and not re.search(r"[A-Z][A-Za-z]", piece)):
             return None
-    return (start, start + len(piece)) if piece else None
+        return start, start + len(piece)
+    if kind != "address":
+        piece = re.split(r"[;；,、。]", piece)[0].rstrip()  # no such number or address goes on after these
+    piece = piece.rstrip(".")
+    for left, right in ("()", "（）"):
+        if piece.startswith(left) and right not in piece:
+            start, piece = start + 1, piece[1:]
+        elif right in piece and left not in piece:
+            if start and text[start - 1] == left:
+                start, piece = start - 1, left + piece
+            elif piece.endswith(right):
+                piece = piece[:-1]
+    digits = sum(c.isdigit() for c in piece)
+    possible = {
+        "email": bool(re.search(r"@|＠|\bat\b", piece)), "phone": digits >= 6, "id_number": digits >= 4 and len(piece) >= 6,
+        "address": digits > 0 and bool(re.search(r"[\s,、市区町]", piece)),
+    }
+    return (start, start + len(piece)) if piece and possible[kind] else None
 
 
 def mentions_of(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, str]]]:
-    """Checked mentions (start, end, kind) of each text, in order, without overlaps."""
-    parts, owner, offset = [], [], []
+    """Checked mentions (start, end, kind) of each text, in order, without overlaps.
+
+    A text longer than a part is read in parts that overlap; a mention is taken from the part in which its middle lies deeper.
+    """
+    parts: list[tuple[int, int, int]] = []
     for k, t in enumerate(texts):
         at = 0
         while at < len(t):
             end = min(len(t), at + PART)
-            if end < len(t):
-                end = max(t.rfind("\n", at, end) + 1, 0) or end
-                if end <= at:
-                    end = min(len(t), at + PART)
-            parts.append(t[at:end])
-            owner.append(k)
-            offset.append(at)
-            at = end
+            parts.append((k, at, end))
+            at = end - SHARED if end < len(t) else end
     found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    start = 0
-    while start < len(parts):
-        end, total = start, 0
-        while end < len(parts) and (end == start or total + len(parts[end]) <= PART):
-            total += len(parts[end])
-            end += 1
-        for i, spans in enumerate(tagger.spans(parts[start:end]), start):
-            for a, b, kind in spans:
-                found[owner[i]].append((a + offset[i], b + offset[i], kind))
-        start = end
+    first = 0
+    while first < len(parts):
+        last, total = first, 0
+        while last < len(parts) and (last == first or total + parts[last][2] - parts[last][1] <= PART):
+            total += parts[last][2] - parts[last][1]
+            last += 1
+        for (k, at, end), spans in zip(parts[first:last], tagger.spans([texts[k][a:b] for k, a, b in parts[first:last]]), strict=True):
+            low, high = at + SHARED // 2 if at else 0, end - SHARED // 2 if end < len(texts[k]) else end + 1
+            found[k] += [(a + at, b + at, kind) for a, b, kind in spans if low <= at + (a + b) // 2 < high]
+        first = last
     out = []
     for t, spans in zip(texts, found, strict=True):
         clean, last = [], 0
@@ -157,7 +146,7 @@ def _apply(notes: DataFrame, schema: str, rows) -> DataFrame:
             f = f.assign(n=f["content"].str.len()).sort_values("n", kind="stable")
             yield rows(f["note_id"].tolist(), f["content"].tolist(), mentions_of(f["content"].tolist(), tagger))
 
-    return notes.where("content is not null").select("note_id", "content").repartition(runtime.slots(spark)).mapInPandas(run, schema)
+    return notes.where("content is not null").select("note_id", "content").mapInPandas(run, schema)
 
 
 def mentions(notes: DataFrame) -> DataFrame:

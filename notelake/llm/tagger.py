@@ -8,6 +8,7 @@ emission for "outside" are fixed first, exactly, so that only the stretches betw
 from __future__ import annotations
 
 import io
+import multiprocessing
 import time
 import unicodedata
 from collections import Counter
@@ -265,31 +266,30 @@ def _windows(data, ids_of, c: TaggerConfig, rng) -> tuple[np.ndarray, np.ndarray
 
 
 def _crf(e, y, trans, begin):
-    """Negative log likelihood per window and gradients; e (n, b, k), y (n, b). Paths run over the padding as "outside"."""
-    n, b, k = e.shape
-    alpha = np.empty_like(e)
-    alpha[0] = begin + e[0]
-
-    def lse(a, axis):
-        m = a.max(axis=axis, keepdims=True)
-        return (m + np.log(np.exp(a - m).sum(axis=axis, keepdims=True))).squeeze(axis)
+    """Negative log likelihood per window and gradients; e (n, b, k), y (n, b). Paths run over the padding as "outside".
 
+    Forward and backward sums in scaled probabilities: a matrix product a step.
+    """
+    n, b, k = e.shape
+    top = e.max(axis=2, keepdims=True)
+    p_e, p_trans = np.exp(e - top), np.exp(trans - trans.max())
+    alpha, beta, scale = np.empty_like(e), np.ones_like(e), np.empty((n, b, 1))
+    first = np.exp(begin - begin.max()) * p_e[0]
+    scale[0] = first.sum(axis=1, keepdims=True)
+    alpha[0] = first / scale[0]
     for t in range(1, n):
-        alpha[t] = lse(alpha[t - 1][:, :, None] + trans, 1) + e[t]
-    beta = np.zeros_like(e)
+        step = (alpha[t - 1] @ p_trans) * p_e[t]
+        scale[t] = step.sum(axis=1, keepdims=True)
+        alpha[t] = step / scale[t]
     for t in range(n - 2, -1, -1):
-        beta[t] = lse(trans[None] + (e[t + 1] + beta[t + 1])[:, None, :], 2)
-    z = lse(alpha[-1], 1)
-    p = np.exp(alpha + beta - z[None, :, None])
+        beta[t] = (p_e[t + 1] * beta[t + 1] / scale[t + 1]) @ p_trans.T
+    z = np.log(scale).sum(axis=(0, 2)) + top.sum(axis=(0, 2)) + begin.max() + (n - 1) * trans.max()
     rows = np.arange(b)
-    gold = begin[y[0]] + e[0, rows, y[0]]
-    g_trans = np.zeros_like(trans)
-    for t in range(1, n):
-        gold = gold + trans[y[t - 1], y[t]] + e[t, rows, y[t]]
-        q = np.exp(alpha[t - 1][:, :, None] + trans + (e[t] + beta[t])[:, None, :] - z[:, None, None])
-        g_trans += q.sum(axis=0)
-        np.add.at(g_trans, (y[t - 1], y[t]), -1)
-    g_e = p.copy()
+    gold = begin[y[0]] + e[np.arange(n)[:, None], rows[None], y].sum(axis=0) + trans[y[:-1], y[1:]].sum(axis=0)
+    after = (p_e[1:] * beta[1:] / scale[1:]).reshape(-1, k)
+    g_trans = p_trans * (alpha[:-1].reshape(-1, k).T @ after)
+    np.add.at(g_trans, (y[:-1].ravel(), y[1:].ravel()), -1)
+    g_e = alpha * beta
     g_e[np.arange(n)[:, None], rows[None], y] -= 1
     g_begin = g_e[0].sum(axis=0)
     return float((z - gold).mean()), g_e / b, g_trans / b, g_begin / b
@@ -314,29 +314,59 @@ def _lstm(x, table_in, wx, wh, bias, reverse):
 def _lstm_back(x, emb, wx, wh, saved, d_states, reverse):
     states, cells, gates = saved
     n, b, h = states.shape
-    d_table = np.zeros((len(emb), 4 * h), np.float32)
-    d_wh = np.zeros_like(wh)
+    d_all = np.empty((n, b, 4 * h), np.float32)
     dh, dc = np.zeros((b, h), np.float32), np.zeros((b, h), np.float32)
-    steps = range(n) if reverse else range(n - 1, -1, -1)
-    for t in steps:
+    back = np.ascontiguousarray(wh.T)
+    none = np.zeros((b, h), np.float32)
+    for t in range(n) if reverse else range(n - 1, -1, -1):
         p = t + 1 if reverse else t - 1
-        has = 0 <= p < n
-        g = gates[t]
+        g, d = gates[t], d_all[t]
         i, f, o, z = g[:, :h], g[:, h:2 * h], g[:, 2 * h:3 * h], g[:, 3 * h:]
         tc = np.tanh(cells[t])
-        dh = dh + d_states[t]
-        dc = dc + dh * o * (1 - tc * tc)
-        prev = cells[p] if has else 0.0
-        d = np.concatenate([dc * z * i * (1 - i), dc * prev * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - z * z)], axis=1)
-        np.add.at(d_table, x[:, t], d)
-        if has:
-            d_wh += states[p].T @ d
-        dh, dc = d @ wh.T, dc * f
-    return d_table @ wx.T, emb.T @ d_table, d_wh, d_table.sum(axis=0)
-
-
-def train(data, c: TaggerConfig, quiet: bool = False) -> Tagger:
-    """Fit on (text, spans) pairs."""
+        dh += d_states[t]
+        dc += dh * o * (1 - tc * tc)
+        d[:, :h] = dc * z * i * (1 - i)
+        d[:, h:2 * h] = dc * (cells[p] if 0 <= p < n else none) * f * (1 - f)
+        d[:, 2 * h:3 * h] = dh * tc * o * (1 - o)
+        d[:, 3 * h:] = dc * i * (1 - z * z)
+        dh, dc = d @ back, dc * f
+    before, own = (states[1:], d_all[:-1]) if reverse else (states[:-1], d_all[1:])
+    d_wh = before.reshape(-1, h).T @ own.reshape(-1, 4 * h)
+    flat, ids = d_all.reshape(-1, 4 * h), x.T.ravel()
+    order = np.argsort(ids, kind="stable")
+    seen, first = np.unique(ids[order], return_index=True)
+    d_table = np.zeros((len(emb), 4 * h), np.float32)
+    d_table[seen] = np.add.reduceat(flat[order], first, axis=0)
+    return d_table @ wx.T, emb.T @ d_table, d_wh, flat.sum(axis=0)
+
+
+def _gradients(w, x, y, rng) -> tuple[float, dict[str, np.ndarray]]:
+    h = len(w["whf"])
+    saved = {s: _lstm(x, w["emb"], w[f"wx{s}"], w[f"wh{s}"], w[f"b{s}"], s == "b") for s in "fb"}
+    drop = {s: (rng.random((1, len(x), h)) > 0.15).astype(np.float32) / 0.85 for s in "fb"}
+    e = sum(((saved[s][0] * drop[s]) @ w[f"wo{s}"] for s in "fb"), w["bo"])
+    loss, g_e, g_trans, g_begin = _crf(e.astype(np.float64), y, w["trans"].astype(np.float64), w["begin"].astype(np.float64))
+    g_e = g_e.astype(np.float32)
+    grads = {"trans": g_trans, "begin": g_begin, "bo": g_e.sum(axis=(0, 1)), "emb": 0}
+    for s in "fb":
+        hidden = saved[s][0] * drop[s]
+        grads[f"wo{s}"] = hidden.reshape(-1, h).T @ g_e.reshape(-1, N_TAGS)
+        d_emb, grads[f"wx{s}"], grads[f"wh{s}"], grads[f"b{s}"] = _lstm_back(x, w["emb"], w[f"wx{s}"], w[f"wh{s}"], saved[s], (g_e @ w[f"wo{s}"].T) * drop[s], s == "b")
+        grads["emb"] = grads["emb"] + d_emb
+    return loss, grads
+
+
+def _serve(pipe, number: int, xs, ys, fallback, c: TaggerConfig, share: int) -> None:
+    """A worker: weights in, the gradients of its share of a batch out."""
+    rng = np.random.default_rng((c.seed, number))
+    while (w := pipe.recv()) is not None:
+        pick = rng.integers(0, len(xs), share)
+        x = np.where(rng.random((share, xs.shape[1])) < 0.03, fallback[xs[pick]], xs[pick])
+        pipe.send(_gradients(w, x, ys[pick].astype(np.int64).T, rng))
+
+
+def train(data, c: TaggerConfig, quiet: bool = False, workers: int = 1) -> Tagger:
+    """Fit on (text, spans) pairs; each of `workers` processes takes a share of every batch."""
     rng = np.random.default_rng(c.seed)
     fold = lru_cache(maxsize=None)(_fold)
     count = Counter(fold(ch) for text, _ in data for ch in text)
@@ -359,23 +389,21 @@ def train(data, c: TaggerConfig, quiet: bool = False) -> Tagger:
     for ch, i in probe.ids.items():
         fallback[i] = _class_of(ch)
     m1, m2 = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
+    share = -(-c.batch // workers)
+    fork = multiprocessing.get_context("fork")
+    pipes, processes = [], []
+    for k in range(workers):
+        mine, theirs = fork.Pipe()
+        processes.append(fork.Process(target=_serve, args=(theirs, k, xs, ys, fallback, c, share), daemon=True))
+        processes[-1].start()
+        pipes.append(mine)
     mean, began = None, time.time()
     for step in range(1, c.steps + 1):
-        pick = rng.integers(0, len(xs), c.batch)
-        x, y = xs[pick], ys[pick].astype(np.int64).T
-        hide = rng.random(x.shape) < 0.03
-        x = np.where(hide, fallback[x], x)
-        saved = {s: _lstm(x, w["emb"], w[f"wx{s}"], w[f"wh{s}"], w[f"b{s}"], s == "b") for s in "fb"}
-        drop = {s: (rng.random((1, c.batch, h)) > 0.15).astype(np.float32) / 0.85 for s in "fb"}
-        e = sum(((saved[s][0] * drop[s]) @ w[f"wo{s}"] for s in "fb"), w["bo"])
-        loss, g_e, g_trans, g_begin = _crf(e.astype(np.float64), y, w["trans"].astype(np.float64), w["begin"].astype(np.float64))
-        g_e = g_e.astype(np.float32)
-        grads = {"trans": g_trans, "begin": g_begin, "bo": g_e.sum(axis=(0, 1)), "emb": 0}
-        for s in "fb":
-            hidden = saved[s][0] * drop[s]
-            grads[f"wo{s}"] = hidden.reshape(-1, h).T @ g_e.reshape(-1, N_TAGS)
-            d_emb, grads[f"wx{s}"], grads[f"wh{s}"], grads[f"b{s}"] = _lstm_back(x, w["emb"], w[f"wx{s}"], w[f"wh{s}"], saved[s], (g_e @ w[f"wo{s}"].T) * drop[s], s == "b")
-            grads["emb"] = grads["emb"] + d_emb
+        for p in pipes:
+            p.send(w)
+        got = [p.recv() for p in pipes]
+        loss = sum(x for x, _ in got) / workers
+        grads = {k: sum(g[k] for _, g in got) / workers for k in w}
         norm = float(np.sqrt(sum(float((g * g).sum()) for g in grads.values())))
         rate = c.rate * min(1.0, step / 50) * (1.0 if step < 0.5 * c.steps else 0.05 + 0.95 * 2 * (1 - step / c.steps))
         for k, g in grads.items():
@@ -386,4 +414,7 @@ def train(data, c: TaggerConfig, quiet: bool = False) -> Tagger:
         mean = loss if mean is None else 0.98 * mean + 0.02 * loss
         if not quiet and step % 50 == 0:
             print(f"step {step}: loss {mean:.3f}, {time.time() - began:.0f} s", flush=True)
+    for p, worker in zip(pipes, processes, strict=True):
+        p.send(None)
+        worker.join()
     return Tagger(w | {"chars": chars}, c)

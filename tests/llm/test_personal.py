@@ -1,8 +1,9 @@
 import numpy as np
 import pytest
+from held_out_personal import SENTENCES
 
 from notelake.llm import p1_personal as p1
-from notelake.llm import p1_training as forms
+from notelake.llm import p1_training as training
 from notelake.llm.tagger import N_TAGS, TAGS, Tagger, TaggerConfig, _crf, train
 
 NOTES = "note_id long, content string, kind string, n int"
@@ -54,18 +55,44 @@ def test_rows_and_redaction(table):
     assert p1.mentions(n.limit(0)).count() == 0
 
 
+def test_held_out_sentences(tagger):
+    """Contexts and names that the generator of training texts doesn't know."""
+    true = found = both = 0
+    for text, want in SENTENCES:
+        got = {(k, text[a:b]) for a, b, k in p1.mentions_of([text], tagger)[0]}
+        true, found, both = true + len(want), found + len(got), both + len(got & set(want))
+    assert both >= 0.88 * true and both >= 0.88 * found
+
+
 def test_checks():
     t = "see Mr. Gravemont's piano"
     assert [t[a:b] for a, b in [p1.checked(t, 4, 19, "name")]] == ["Gravemont"]
     assert p1.checked("call 12 now", 5, 7, "phone") is None and p1.checked("abcDEF", 0, 6, "address") is None
+    t = "(0555) 12 34 56, a@b.test; do"
+    assert p1.checked(t, 1, 14, "phone") == (0, 15) and t[slice(*p1.checked(t, 17, 29, "email"))] == "a@b.test"
     assert p1.redact("a b c", []) == "a b c"
 
 
-def test_labels_have_no_overlap():
-    for text, want in CASES:
-        spans = forms.label(text)
-        assert {(k, text[a:b]) for a, b, k in spans} == want
-        assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False))
+def test_generated_spans_are_of_their_kind():
+    """Training texts have spans within them, in order, without overlaps."""
+    texts = ["The gardener sold a lamp in Westfell. Nobody has to wait.", "庭師がランプを藍織谷で見つけた。", "Der Chor und die Lampe.", "La lampe est jolie et calme."]
+    data = training.examples(texts, [("Ilvavet", "given", "latin"), ("Ostroshaw", "family", "latin"), ("澪羽", "given", "kanji"), ("雫瀬", "family", "kanji")], training.TrainingConfig(texts=400))
+    kinds = set()
+    for t, spans in data:
+        assert all(0 <= a < b <= len(t) for a, b, _ in spans) and all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False))
+        kinds |= {k for _, _, k in spans}
+        assert all(t[a:b] == t[a:b].strip() for a, b, _ in spans)
+    assert kinds == set(p1.PLACEHOLDERS)
+
+
+def test_parts_of_a_long_text_overlap(tagger, monkeypatch):
+    monkeypatch.setattr(p1, "PART", 900)
+    monkeypatch.setattr(p1, "SHARED", 400)
+    case, filler = CASES[0][0], "Nothing is here to be seen, and so it goes on "
+    for shift in range(0, 1000, 90):
+        text = filler * 15 + "x" * shift + " " + case + " " + filler * 30
+        got = {(k, text[a:b]) for a, b, k in p1.mentions_of([text], tagger)[0]}
+        assert {k for k in got if k[0] != "name"} == {k for k in CASES[0][1] if k[0] != "name"}
 
 
 def test_crf_against_all_paths():
