@@ -1,13 +1,15 @@
 """Problem 5: one form for text that looks the same.
 
-Every text is first normalised by a character table (width, composition, ligatures and squared
-signs, blanks, hyphens, invisible code points). Tokens that mix look-alike letters of several
-alphabets are then looked up in tries of the corpus vocabulary by a weighted edit automaton, for
-which a look-alike or an ignorable costs nothing; the most frequent vocabulary word reached is the
-canonical spelling. Tokens that reach no word take the spelling of the table: the alphabet of
-their letters without a look-alike, or Latin if all letters have one.
+Tokens are read as they stand, with whatever invisible signs, combining marks, wide or foreign letters they hold. Those that
+hold any, and those whose reading is spelled in several ways in the corpus, are looked up in tries of the corpus
+vocabulary (its spellings in one alphabet, with their numbers) by a weighted edit automaton, for which look-alikes,
+widths, compositions and ignorables cost nothing: of the words reached the most frequent is the canonical spelling, for
+the word itself too. Tokens that reach no word take the spelling of a table: the alphabet of their letters
+without a look-alike, or Latin if all have one. The signs between tokens are normalised by a character table (width,
+composition, ligatures and squared signs, blanks, hyphens, invisible code points).
 
-Vocabulary tries are built per shard of the folded two-letter prefix, so no word list is ever held whole.
+Only words whose skeleton (Latin letters for look-alikes) is asked for or contested can be reached at cost zero, or be respelled, so
+only they enter the tries; a trie holds those of one shard of skeletons, so no word list is ever held whole.
 
 Nulls give null, empty and blank texts give the normalised (empty or blank) text and never form pairs;
 repeated rows and further columns don't matter; empty tables give empty results.
@@ -18,7 +20,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -39,8 +40,34 @@ RESTYLED = {"<wide>", "<narrow>", "<square>", "<compat>", "<noBreak>", "<font>",
 LOOKALIKE = CYRILLIC | GREEK
 TO_CYRILLIC = {v: k for k, v in CYRILLIC.items()}
 TO_GREEK = {v: k for k, v in GREEK.items()}
-TOKEN = re.compile(r"[^\W\d_]+")
-SUSPECT = re.compile("[" + "".join(LOOKALIKE) + "]")
+#: Invisible code points that are no format signs by category.
+FILLERS = (0x034F, 0x115F, 0x1160, 0x3164)
+
+
+def _ignorable(cp: int) -> bool:
+    return cp in FILLERS or 0xFE00 <= cp <= 0xFE0F or 0xE0100 <= cp <= 0xE01EF or unicodedata.category(chr(cp)) == "Cf"
+
+
+def _ranges(test) -> str:
+    """Inside of a character class of the code points that pass."""
+    out, begin = [], None
+    for cp in [*range(0x3000), *range(0xA600, 0xAC00), *range(0xFB00, 0x11000), *range(0xE0000, 0xE0200)]:
+        if test(cp):
+            if begin is None or cp != last + 1:
+                begin = cp
+                out.append([cp, cp])
+            out[-1][1] = last = cp
+        else:
+            begin = None
+    return "".join(f"{re.escape(chr(x))}-{re.escape(chr(y))}" for x, y in out)
+
+
+_JOINED = _ranges(lambda cp: unicodedata.category(chr(cp))[0] == "M" or _ignorable(cp))
+#: Letters with what may stand invisibly among them.
+TOKEN = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{_JOINED}])*")
+LOOKALIKES = re.compile("[" + "".join(LOOKALIKE) + "]")
+#: Latin letters that another alphabet has in the same shape.
+SHARED = "".join(sorted(set(LOOKALIKE.values())))
 
 
 class _CharTable(dict):
@@ -55,7 +82,7 @@ class _CharTable(dict):
             out = "\n"
         elif cat == "Zs":
             out = " "
-        elif cat == "Cf" or 0xFE00 <= cp <= 0xFE0F or 0xE0100 <= cp <= 0xE01EF or cp in (0x115F, 0x1160, 0x3164, 0x034F):
+        elif _ignorable(cp):
             out = ""
         elif ch != "…":
             d = unicodedata.decomposition(ch)
@@ -95,108 +122,120 @@ def by_table(token: str) -> str:
     return base
 
 
-def is_anchored(token: str) -> bool:
-    """Whether a token is written in one alphabet that its own letters settle: fit for the vocabulary."""
-    return by_table(token) == token
+def in_one_alphabet(token: str) -> bool:
+    """Whether a token's letters are of one of the alphabets that share shapes: fit for the vocabulary."""
+    kinds = {unicodedata.name(c, "?").split(" ", 1)[0] for c in token} & {"LATIN", "CYRILLIC", "GREEK"}
+    return len(kinds) <= 1
+
+
+def _decomposed(token: str) -> str:
+    """Without width and composition; invisible signs stay, for the automaton."""
+    return unicodedata.normalize("NFD", "".join(c if _ignorable(ord(c)) else c.translate(_TABLE) for c in token))
 
 
 class Trie:
-    """Vocabulary trie; nodes are dicts, the key None holds (count, word)."""
+    """Vocabulary trie over decomposed words; nodes are dicts, the key None holds the (count, word)s that end there."""
 
     def __init__(self) -> None:
         self.root: dict = {}
 
     def add(self, word: str, count: int) -> None:
         node = self.root
-        for ch in word:
+        for ch in _decomposed(word):
             node = node.setdefault(ch, {})
-        node[None] = (count, word)
+        node.setdefault(None, []).append((count, word))
 
     def nearest(self, token: str, budget: float = 0.0) -> str | None:
-        """Most frequent word within the edit budget, cheapest first; look-alikes and ignorables are free."""
+        """Cheapest word within the edit budget, of these the most frequent, then the smaller; look-alikes and ignorables are free."""
         states = [(0.0, self.root)]
-        for ch in token:
+        for ch in _decomposed(token):
             base = LOOKALIKE.get(ch, ch)
-            ignorable = unicodedata.category(ch) == "Cf"
+            if _ignorable(ord(ch)):
+                continue
             nxt = {}
             for cost, node in states:
-                steps = [(cost, node)] if ignorable else []
+                steps = [(cost + 1.0, node)] if cost + 1.0 <= budget else []
                 for c, child in node.items():
-                    if c is None:
-                        continue
-                    step = cost if c == ch or LOOKALIKE.get(c, c) == base else cost + 1.0
-                    if step <= budget:
-                        steps.append((step, child))
-                if cost + 1.0 <= budget:
-                    steps.append((cost + 1.0, node))
-                for s, n in steps:
-                    if id(n) not in nxt or nxt[id(n)][0] > s:
-                        nxt[id(n)] = (s, n)
+                    if c is not None:
+                        step = cost if c == ch or LOOKALIKE.get(c, c) == base else cost + 1.0
+                        if step <= budget:
+                            steps.append((step, child))
+                for x, n in steps:
+                    if id(n) not in nxt or nxt[id(n)][0] > x:
+                        nxt[id(n)] = (x, n)
             states = list(nxt.values())
             if not states:
                 return None
-        ends = [(cost, -n[None][0], n[None][1]) for cost, n in states if None in n]
+        ends = [(cost, -count, word) for cost, n in states for count, word in n.get(None, [])]
         return min(ends)[2] if ends else None
 
 
-@lru_cache(maxsize=200_000)
-def _suspects(text: str) -> tuple[str, ...]:
-    return tuple(sorted({t for t in TOKEN.findall(text) if SUSPECT.search(t) and not is_anchored(t)}))
+def suspects(text: str, norm: str) -> list[str]:
+    """Distinct tokens that hold look-alikes of Latin letters, or aren't in their normal form; norm: the text's normal form."""
+    clean = norm == text
+    if text.isascii() or (clean and not LOOKALIKES.search(text)):
+        return []
+    return sorted({t for t in TOKEN.findall(text) if not t.isascii() and (LOOKALIKES.search(t) or (not clean and normalise(t) != t))})
 
 
-def canonical_texts(texts: DataFrame) -> DataFrame:
-    """texts(text_key, text) -> (text_key, text, canonical). text_key is unique."""
-    spark = texts.sparkSession
-    runtime.ship(spark)
-    n = runtime.slots(spark)
-
-    def normed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            t = [None if x is None else normalise(x) for x in f["text"]]
-            yield pd.DataFrame({"text_key": f["text_key"], "norm": t, "suspects": [[] if x is None or not SUSPECT.search(x) else list(_suspects(x)) for x in t]})
-
-    base = runtime.cut(
-        texts.select("text_key", "text").repartition(n)
-        .mapInPandas(normed, f"text_key {dict(texts.dtypes)['text_key']}, norm string, suspects array<string>")
+def spellings(base: DataFrame, shard_words: int = 200_000) -> DataFrame:
+    """base(norm, suspects ARRAY<STRUCT<token, skeleton>>) -> (token, spelling): every asked or contested token and its canonical spelling."""
+    alike = F.translate(F.col("token"), "".join(LOOKALIKE), "".join(LOOKALIKE.values()))
+    asked = base.select(F.explode("suspects").alias("s")).select("s.token", "s.skeleton").distinct()
+    words = runtime.cut(
+        base.select(F.explode(F.regexp_extract_all("norm", F.lit(r"(\p{L}[\p{L}\p{M}]*)"), F.lit(1))).alias("token"))
+        .groupBy("token").agg(F.count("*").alias("n")).withColumn("skeleton", alike)
     )
-    prefix = F.substring(F.translate(F.col("token"), "".join(LOOKALIKE), "".join(LOOKALIKE.values())), 1, 2)
-    asked = base.select(F.explode("suspects").alias("token")).distinct().withColumn("shard", prefix)
-    # Only words whose skeleton is asked for can be reached at cost zero, so only they enter the tries.
-    skeleton = F.translate(F.col("token"), "".join(LOOKALIKE), "".join(LOOKALIKE.values()))
-    wanted = asked.select(skeleton.alias("skeleton")).distinct()
-    words = (
-        base.select(F.explode(F.regexp_extract_all("norm", F.lit(r"(\p{L}+)"), F.lit(1))).alias("token"))
-        .groupBy("token").agg(F.count("*").alias("n"))
-        .withColumn("skeleton", skeleton).join(wanted, "skeleton", "left_semi").withColumn("shard", prefix)
-    )
-    both = asked.select("shard", "token", F.lit(None).cast("long").alias("n")).unionByName(words.select("shard", "token", "n"))
+    contested = words.groupBy("skeleton").agg(F.count("*").alias("k")).where("k > 1").select("skeleton")
+    wanted = asked.select("skeleton").union(contested).distinct()
+    vocabulary = words.join(wanted, "skeleton", "left_semi").select("skeleton", "token", "n")
+    both = runtime.cut(vocabulary.unionByName(asked.select("skeleton", "token", F.lit(None).cast("long").alias("n"))))
+    shards = max(runtime.slots(base.sparkSession), -(-both.count() // shard_words))
 
     def look_up(f: pd.DataFrame) -> pd.DataFrame:
         trie = Trie()
-        vocabulary = f[f["n"].notna()]
-        for w, c in zip(vocabulary["token"], vocabulary["n"], strict=True):
-            if is_anchored(w):
+        counted = f["n"].notna()
+        for w, c in zip(f.loc[counted, "token"], f.loc[counted, "n"], strict=True):
+            if in_one_alphabet(w):
                 trie.add(w, int(c))
-        asked_here = f.loc[f["n"].isna(), "token"]
-        return pd.DataFrame({"token": asked_here, "spelling": [trie.nearest(t) or by_table(t) for t in asked_here]})
+        tokens = sorted(set(f["token"]))
+        return pd.DataFrame({"token": tokens, "spelling": [trie.nearest(t) or by_table(normalise(t)) for t in tokens]})
 
-    spelled = both.groupBy("shard").applyInPandas(look_up, "token string, spelling string")
-    per_text = (
-        base.select("text_key", F.explode("suspects").alias("token")).join(spelled, "token")
-        .groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("token", "spelling"))).alias("spellings"))
-    )
+    return both.withColumn("shard", F.pmod(F.xxhash64("skeleton"), F.lit(shards))).groupBy("shard").applyInPandas(look_up, "token string, spelling string")
+
+
+def canonical_texts(texts: DataFrame) -> DataFrame:
+    """texts(text_key, text) -> (text_key, canonical). text_key is unique."""
+    spark = texts.sparkSession
+    runtime.ship(spark)
+    key = dict(texts.dtypes)["text_key"]
+
+    def normed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            norm = [None if x is None else normalise(x) for x in f["text"]]
+            yield pd.DataFrame({
+                "text_key": f["text_key"], "text": f["text"], "norm": norm,
+                "suspects": [[] if x is None else [{"token": t, "skeleton": fold(normalise(t))} for t in suspects(x, y)] for x, y in zip(f["text"], norm, strict=True)],
+            })
+
+    base = runtime.cut(texts.select("text_key", "text").mapInPandas(normed, f"text_key {key}, text string, norm string, suspects array<struct<token:string,skeleton:string>>"))
+    changed = runtime.cut(spellings(base.select("norm", "suspects")).where("token <> spelling"))
+    # Tokens of a text that may change: its suspects, and Latin words of which every letter has a look-alike.
+    latin = F.regexp_extract_all("norm", F.lit(rf"(?<![\p{{L}}\p{{M}}])([{SHARED}]+)(?![\p{{L}}\p{{M}}])"), F.lit(1))
+    may = base.select("text_key", F.explode(F.array_union(F.transform("suspects", lambda x: x["token"]), latin)).alias("token"))
+    per_text = may.join(changed, "token").groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("token", "spelling"))).alias("spellings"))
 
     def respell(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for t, m in zip(f["norm"], f["spellings"], strict=True):
+            for t, m in zip(f["text"], f["spellings"], strict=True):
                 m = dict(m)
-                out.append(TOKEN.sub(lambda x, m=m: m.get(x[0], x[0]), t))
+                out.append(normalise(TOKEN.sub(lambda x, m=m: m.get(x[0], x[0]), t)))
             yield pd.DataFrame({"text_key": f["text_key"], "canonical": out})
 
-    key = dict(texts.dtypes)["text_key"]
-    dirty = base.join(per_text, "text_key").select("text_key", "norm", "spellings").mapInPandas(respell, f"text_key {key}, canonical string")
-    clean = base.where(F.size("suspects") == 0).select("text_key", F.col("norm").alias("canonical"))
+    joined = runtime.cut(per_text)
+    dirty = base.join(joined, "text_key").select("text_key", "text", "spellings").mapInPandas(respell, f"text_key {key}, canonical string")
+    clean = base.join(joined.select("text_key"), "text_key", "left_anti").select("text_key", F.col("norm").alias("canonical"))
     return clean.unionByName(dirty)
 
 
@@ -209,9 +248,14 @@ def fields_of(notes: DataFrame) -> DataFrame:
     )).alias("f")).select("f.*").where("text is not null")
 
 
+def _key(column: str):
+    """Half of a digest: 16 bytes that name a text."""
+    return F.substring(F.unhex(F.sha2(column, 256)), 1, 16)
+
+
 def canonical_fields(notes: DataFrame) -> DataFrame:
     """(field_name, note_id, text, canonical): titles and contents of all distinct notes in one form."""
-    f = fields_of(notes).withColumn("text_key", F.sha2("text", 256))
+    f = fields_of(notes).withColumn("text_key", _key("text"))
     texts = f.groupBy("text_key").agg(F.first("text").alias("text"))
     return f.join(canonical_texts(texts), "text_key").select("field_name", "note_id", "text", "canonical")
 
@@ -220,24 +264,18 @@ def alike_pairs(notes: DataFrame) -> DataFrame:
     """(field_name, note_id_a, note_id_b), a < b: fields that read the same and are different code points.
 
     Notes are grouped into classes of equal text, classes into readings; only classes of one reading
-    that differ are joined, so equal texts, however many, never meet.
+    that differ are joined, so equal texts, however many, never meet. Each note of a class is linked to the smallest note of
+    the other class, so many copies on both sides don't make all their pairs.
     """
-    f = fields_of(notes).where(F.trim(F.regexp_replace("text", r"[\s\p{Z}\p{Cf}]+", "")) != "").withColumn("text_key", F.sha2("text", 256))
+    f = fields_of(notes).where(F.trim(F.regexp_replace("text", r"[\s\p{Z}\p{Cf}]+", "")) != "").withColumn("text_key", _key("text"))
     texts = f.groupBy("text_key").agg(F.first("text").alias("text"))
-    reading = canonical_texts(texts).select("text_key", F.sha2("canonical", 256).alias("reading"))
-    reading = runtime.cut(reading)
+    reading = runtime.cut(canonical_texts(texts).select("text_key", _key("canonical").alias("reading")))
     several = reading.groupBy("reading").agg(F.count("*").alias("n")).where("n > 1").select("reading")
-    classes = reading.join(several, "reading")
-    pairs = classes.alias("a").join(classes.alias("b"), F.col("a.reading") == F.col("b.reading")).where("a.text_key < b.text_key")
-    pairs = pairs.select(F.col("a.text_key").alias("ka"), F.col("b.text_key").alias("kb"))
-    member = f.select("field_name", "note_id", "text_key").join(classes.select("text_key"), "text_key", "left_semi")
-    x = member.select(F.col("text_key").alias("ka"), F.col("field_name"), F.col("note_id").alias("na"))
-    y = member.select(F.col("text_key").alias("kb"), F.col("field_name"), F.col("note_id").alias("nb"))
-    return (
-        pairs.join(x, "ka").join(y, ["kb", "field_name"]).where("na <> nb")
-        .select("field_name", F.least("na", "nb").alias("note_id_a"), F.greatest("na", "nb").alias("note_id_b"))
-        .distinct()
-    )
+    classes = runtime.cut(reading.join(several, "reading"))
+    member = runtime.cut(f.select("field_name", "note_id", "text_key").join(classes, "text_key"))
+    first = member.groupBy("reading", "field_name", "text_key").agg(F.min("note_id").alias("other_id")).withColumnRenamed("text_key", "other_key")
+    links = member.join(first, ["reading", "field_name"]).where((F.col("text_key") != F.col("other_key")) & (F.col("note_id") != F.col("other_id")))
+    return links.select("field_name", F.least("note_id", "other_id").alias("note_id_a"), F.greatest("note_id", "other_id").alias("note_id_b")).distinct()
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,6 +42,7 @@ def test_trie_prefers_frequent_words_and_counts_edits():
     t.add("crab", 3)
     t.add("crib", 9)
     assert t.nearest("сrаb") == "crab" and t.nearest("cr​ab") == "crab" and t.nearest("xxxx") is None
+    assert t.nearest("ＣＲＡＢ".lower()) == "crab" and t.nearest("\u200bc\ufe0frab") == "crab"
     assert t.nearest("crob") is None and t.nearest("crob", 1.0) == "crib" and t.nearest("crab", 1.0) == "crab"
 
 
@@ -59,3 +60,19 @@ def test_canonical_of_long_text(table):
     long = "Вaza и " * 30_000
     r = p5.canonical_fields(table([(1, None, long, None, None, None)], NOTES)).collect()
     assert len(r) == 1 and unicodedata.is_normalized("NFC", r[0]["canonical"]) and len(r[0]["canonical"]) == len(long)
+
+
+def test_frequency_decides_between_spellings(table):
+    """Of the spellings of one reading the most frequent is kept, also where the table would take the other."""
+    russian, latin = "\u0445\u043e\u0440", "xop"
+    rows = [(i, None, f"{russian} \u043f\u043e\u0451\u0442 {i}", None, None, None) for i in range(5)] + [(9, latin, "cafe\u0301 with a\u200bb", None, None, None), (10, "x\u043ep", "caf\u00e9 with ab", None, None, None)]
+    got = {(r["field_name"], r["note_id"]): r["canonical"] for r in p5.canonical_fields(table(rows, NOTES)).collect()}
+    assert got["title", 9] == got["title", 10] == russian and p5.by_table(russian) == latin
+    assert got["content", 9] == got["content", 10] == "caf\u00e9 with ab" and got["content", 3].startswith(russian)
+    assert ("title", 9, 10) in {tuple(r) for r in p5.alike_pairs(table(rows, NOTES)).collect()}
+
+
+def test_copies_are_linked_to_the_other_class(table):
+    rows = [(i, "Half", None, None, None, None) for i in range(1, 5)] + [(i, "H\u0430lf", None, None, None, None) for i in range(5, 9)]
+    got = {tuple(r)[1:] for r in p5.alike_pairs(table(rows, NOTES)).collect()}
+    assert got == {(i, 5) for i in range(1, 5)} | {(1, i) for i in range(5, 9)}
