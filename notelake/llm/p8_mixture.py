@@ -1,6 +1,6 @@
 """Problem 8: mixing sources to target weights by weighted fair queueing.
 
-Every page is measured in tokens of a public tokenizer. The pages of a source are put in a shuffled order, epoch
+Every page is measured in tokens of a public tokenizer, whose file the driver sends to all nodes. The pages of a source are put in a shuffled order, epoch
 after epoch up to the source's cap of repeats; a copy's virtual finish time is the source's tokens up to it divided
 by the source's target share. All copies are sorted by it across the cluster and cut off where the budget is full.
 A source that runs out frees its share for the others in proportion to their targets; the shares reached are reported.
@@ -56,14 +56,15 @@ def token_counts(documents: DataFrame, c: MixConfig = MixConfig()) -> DataFrame:
     """(doc_id, source_key, n_tokens) of pages with an id and text; one row per page."""
     spark = documents.sparkSession
     runtime.ship(spark)
+    name = runtime.send_file(spark, c.tokenizer)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = _encoding(c.tokenizer, c.pattern)
+        enc = _encoding(runtime.sent_file(name), c.pattern)
         for f in frames:
             yield pd.DataFrame({"doc_id": f["doc_id"], "source_key": f["source_key"], "n_tokens": [len(enc.encode_ordinary(t)) for t in f["text"]]})
 
     pages = documents.where("doc_id is not null and text is not null").select("doc_id", source_key(F.col("source")).alias("source_key"), "text")
-    counted = pages.repartition(runtime.slots(spark)).mapInPandas(count, "doc_id long, source_key string, n_tokens long")
+    counted = runtime.spread(pages).mapInPandas(count, "doc_id long, source_key string, n_tokens long")
     return counted.groupBy("doc_id").agg(F.max(F.struct("n_tokens", "source_key")).alias("s")).select("doc_id", "s.source_key", "s.n_tokens")
 
 

@@ -1,11 +1,11 @@
-"""Problem 9: keyword-stuffed and link-list pages by an n-gram model over word classes.
+"""Problem 9: keyword-stuffed and link-list pages by an n-gram model over function words and word classes.
 
-A page becomes a sequence of classes: function words by language and kind, numbers, addresses, tags, marks,
-and content words by how lately the page used them. A trigram model of classes is trained on the corpus's
-prose pages (counted over all of them); windows whose surprisal is abnormal against prose are suspicious. An
-exact check then asks what made them so: only windows full of crowding keywords, addresses or tags count, which tells
- spam from timetables, prices, results, notices and verse. A page is spam if such windows hold
-more than half of its printed signs.
+A page becomes a sequence of classes: function words by language and kind, addresses, tags, and content words by how
+lately the page used them; a word that crowds its surroundings is a keyword, unless it labels records (mostly near
+varying numbers, or first on its line: timetables, prices, results), whose words, like numbers and marks, are no part of the
+sequence. A trigram model of classes is trained on the corpus's prose pages (counted over all of them). Windows whose mean
+surprisal is abnormally high or low against the windows of prose are spam windows, whatever made them so; a page is
+spam if they hold more than half of its printed signs. Nothing but the model decides.
 
 Null, empty and blank pages are no spam. Without any prose page nothing is flagged. Repeated pages are each
 reported; further columns don't matter; empty tables give an empty result.
@@ -32,10 +32,12 @@ class SpamConfig:
     near: int = 6                # content words back that make a repetition fresh
     prose_function: float = 0.22  # share of function words from which a page trains the model
     prose_fresh: float = 0.12     # share of fresh repetitions up to which it does
-    deviations: float = 3.0      # standard deviations from prose that are abnormal
+    high: float = 1.6            # standard deviations above prose from which a window's perplexity is abnormal
+    low: float = 4.0             # and below it
+    margin: float = 0.6          # bits by which an abnormal window differs from prose at least
+    clip: float = 7.0            # bits that one class counts at most, so that a single address is no abnormal window
     crowd: int = 4               # occurrences among the 80 content words around that make a word a keyword
     label: float = 0.7           # share of its occurrences by a number or at line starts that makes a word a label
-    cause: float = 0.3           # share of keywords, addresses and tags that explains a window
     most: float = 0.5            # share of a page's signs in such windows that makes it spam
 
 
@@ -67,7 +69,8 @@ FUNCTION_WORDS = {
         "ending": "です ます した して する だった だ では ない という ことに と思う",
     },
 }
-CLASSES = ["<s>", "number", "address", "tag", "stop", "comma", "divider", "mark", "new", "far", "near", "fresh", "phrase", "kana"]
+#: Classes up to the first that is a word are no part of the sequence.
+CLASSES = ["<s>", "number", "label", "stop", "comma", "divider", "mark", "address", "tag", "keyword", "new", "far", "near", "fresh", "phrase", "kana"]
 CLASSES += [f"{lang}:{kind}" for lang, kinds in FUNCTION_WORDS.items() for kind in kinds]
 _ID = {c: i for i, c in enumerate(CLASSES)}
 K = len(CLASSES)
@@ -76,7 +79,7 @@ for _lang, _kinds in FUNCTION_WORDS.items():
     for _kind, _words in _kinds.items():
         for _w in _words.split():
             _FUNCTION.setdefault(_w, _ID[f"{_lang}:{_kind}"])
-_FIRST_FUNCTION = _ID["en:article"]
+_FIRST_WORD, _FIRST_FUNCTION = _ID["address"], _ID["en:article"]
 _MARKS = {**dict.fromkeys(".!?。！？…", _ID["stop"]), **dict.fromkeys(",、，", _ID["comma"]), **dict.fromkeys(";|·>:/•", _ID["divider"])}
 
 #: Marks of word breaks at line ends.
@@ -115,8 +118,8 @@ def _class_of(tok: str) -> int:
     return k
 
 
-def classify(text: str, c: SpamConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class and printed length of every token of a page, and whether it is a keyword, address or tag.
+def classify(text: str, c: SpamConfig) -> tuple[np.ndarray, np.ndarray, int, bool]:
+    """Class and printed length of every token of a page's sequence, the signs of all its tokens, and whether it is prose.
 
     A keyword is a content word crowding its surroundings, unless it is the label or unit of a record:
     mostly near a number (times, prices, weather), or mostly first on its line.
@@ -160,27 +163,25 @@ def classify(text: str, c: SpamConfig) -> tuple[np.ndarray, np.ndarray, np.ndarr
         first_on_line.append(new_line)
         new_line = False
     seq = np.array(classes, np.uint8)
-    n = len(seq)
-    cause = np.isin(seq, (_ID["address"], _ID["tag"]))
-    numbers = Counter(x for _, x in number_at)
+    prose = is_prose(seq, c)
     # Records have varying numbers; one number that makes up most of a page's ("24h") is stuffing too.
-    varying = seq == _ID["number"]
-    for usual, times in numbers.most_common(1):
+    varying = seq == number
+    for usual, times in Counter(x for _, x in number_at).most_common(1):
         if times > max(3, len(number_at) // 2):
             varying[[i for i, x in number_at if x == usual]] = False
-    near_number = np.convolve(varying, np.ones(5, np.int64), "same")[:n] > 0 if n >= 5 else varying
+    near_number = np.convolve(varying, np.ones(7, np.int64), "same")[:len(seq)] > 0 if len(seq) >= 7 else varying
     content = np.array(order, np.int64)
     first = np.array(first_on_line, bool)
     for seen in at.values():
         if len(seen) < c.crowd:
             continue
         p = np.array(seen)
-        if near_number[p].mean() >= c.label or first[p].mean() >= c.label:
-            continue
         where = content[p]
-        around = np.searchsorted(where, where + 40, "right") - np.searchsorted(where, where - 40, "left")
-        cause[p[around >= c.crowd]] = True
-    return seq, np.minimum(np.array(lengths, np.int64), 255).astype(np.uint8), cause
+        crowded = p[np.searchsorted(where, where + 40, "right") - np.searchsorted(where, where - 40, "left") >= c.crowd]
+        seq[crowded] = _ID["label" if near_number[p].mean() >= c.label or first[p].mean() >= c.label else "keyword"]
+    signs = np.minimum(np.array(lengths, np.int64), 255).astype(np.uint8)
+    words = seq >= _FIRST_WORD
+    return seq[words], signs[words], int(signs.sum(dtype=np.int64)), prose
 
 
 def is_prose(classes: np.ndarray, c: SpamConfig) -> bool:
@@ -197,14 +198,14 @@ def _codes(classes: np.ndarray) -> np.ndarray:
     return (x[:-2] * K + x[1:-1]) * K + x[2:]
 
 
-def surprisal_table(counts: np.ndarray) -> np.ndarray:
-    """Bits per class after two classes, from trigram counts of shape (K ** 3,): interpolated, each order backed by the lower."""
+def surprisal_table(counts: np.ndarray, clip: float) -> np.ndarray:
+    """Bits, at most `clip`, per class after two classes, from trigram counts of shape (K ** 3,): interpolated, each order backed by the lower."""
     tri = counts.reshape(K, K, K).astype(float)
     bi, uni = tri.sum(axis=0), tri.sum(axis=(0, 1))
     p1 = (uni + 0.5) / (uni.sum() + 0.5 * K)
     p2 = (bi + 5 * p1) / (bi.sum(axis=1, keepdims=True) + 5)
     p3 = (tri + 5 * p2[None]) / (tri.sum(axis=2, keepdims=True) + 5)
-    return (-np.log2(p3)).astype(np.float32).ravel()
+    return np.minimum(-np.log2(p3), clip).astype(np.float32).ravel()
 
 
 def _windows(values: np.ndarray, width: int) -> np.ndarray:
@@ -217,19 +218,22 @@ def _windows(values: np.ndarray, width: int) -> np.ndarray:
     return (total[hi] - total[lo]) / (hi - lo)
 
 
-def spam_share(classes: np.ndarray, lengths: np.ndarray, cause: np.ndarray, bits: np.ndarray, low: float, high: float, c: SpamConfig) -> tuple[float, float]:
-    """(share of the page's signs in spam windows, mean surprisal)."""
+def spam_share(classes: np.ndarray, lengths: np.ndarray, n_signs: int, bits: np.ndarray, usual: tuple[float, float, float], c: SpamConfig) -> tuple[float, float]:
+    """(share of the page's signs in windows of abnormal perplexity, mean surprisal). usual: prose's mean, what is high and what low above it.
+
+    On a page of fewer tokens than a window means vary more, so more is usual.
+    """
+    if not len(classes):
+        return 0.0, 0.0
     s = bits[_codes(classes)]
-    mean = _windows(s, c.window)
-    words = (classes >= _ID["new"]) | np.isin(classes, (_ID["address"], _ID["tag"], _ID["number"]))
-    share = _windows(cause.astype(float), c.window) / np.maximum(_windows(words.astype(float), c.window), 1e-9)
-    spam = ((mean > high) | (mean < low)) & (share >= c.cause)
-    weight = lengths.astype(float)
-    return float((weight * spam).sum() / max(weight.sum(), 1.0)), float(s.mean())
+    s[:2] = usual[0]  # nothing goes before them that could make them abnormal
+    over = (_windows(s, c.window) - usual[0]) * min(1.0, len(s) / c.window) ** 0.5
+    spam = (over > usual[1]) | (over < usual[2])
+    return float((lengths.astype(float) * spam).sum() / max(n_signs, 1)), float(s.mean())
 
 
 def scores(documents: DataFrame, c: SpamConfig = SpamConfig()) -> DataFrame:
-    """(doc_id, spam_share, perplexity, is_spam) of every page with a sign on it."""
+    """(doc_id, spam_share, perplexity, keyword_share, is_spam) of every page with a sign on it; keyword_share explains only."""
     spark = documents.sparkSession
     runtime.ship(spark)
 
@@ -238,11 +242,11 @@ def scores(documents: DataFrame, c: SpamConfig = SpamConfig()) -> DataFrame:
             done = [classify(t, c) for t in f["text"]]
             yield pd.DataFrame({
                 "doc_id": f["doc_id"], "classes": [x[0].tobytes() for x in done], "lengths": [x[1].tobytes() for x in done],
-                "cause": [np.packbits(x[2]).tobytes() for x in done], "prose": [is_prose(x[0], c) for x in done],
+                "n_signs": [x[2] for x in done], "prose": [x[3] for x in done],
             })
 
-    pages = documents.where("text is not null and doc_id is not null").select("doc_id", "text").repartition(runtime.slots(spark))
-    seqs = runtime.cut(pages.mapInPandas(classified, "doc_id long, classes binary, lengths binary, cause binary, prose boolean").where(F.length("classes") > 0))
+    pages = documents.where("text is not null and doc_id is not null").select("doc_id", "text")
+    seqs = runtime.cut(runtime.spread(pages).mapInPandas(classified, "doc_id long, classes binary, lengths binary, n_signs long, prose boolean").where("n_signs > 0"))
 
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(K ** 3, np.int64)
@@ -257,7 +261,7 @@ def scores(documents: DataFrame, c: SpamConfig = SpamConfig()) -> DataFrame:
     counts = np.zeros(K ** 3, np.int64)
     for r in grams:
         counts[r["code"]] = r["n"]
-    bits = spark.sparkContext.broadcast(surprisal_table(counts))
+    bits = spark.sparkContext.broadcast(surprisal_table(counts, c.clip))
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, s, q = 0, 0.0, 0.0
@@ -268,21 +272,21 @@ def scores(documents: DataFrame, c: SpamConfig = SpamConfig()) -> DataFrame:
         yield pd.DataFrame({"n": [n], "s": [s], "q": [q]})
 
     r = seqs.where("prose").select("classes").mapInPandas(spread, "n long, s double, q double").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).first()
-    low, high = -1.0, float("inf")
+    usual = (0.0, float("inf"), float("-inf"))
     if r["n"]:
         mean = r["s"] / r["n"]
         sd = max(r["q"] / r["n"] - mean * mean, 0.0) ** 0.5
-        low, high = mean - c.deviations * sd, mean + c.deviations * sd
+        usual = (mean, max(c.high * sd, c.margin), -max(c.low * sd, c.margin))
 
     def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            got = [
-                spam_share(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8), np.unpackbits(np.frombuffer(k, np.uint8), count=len(a)).astype(bool), bits.value, low, high, c)
-                for a, b, k in zip(f["classes"], f["lengths"], f["cause"], strict=True)
-            ]
-            yield pd.DataFrame({"doc_id": f["doc_id"], "spam_share": [x for x, _ in got], "perplexity": [2.0 ** x for _, x in got]})
+            classes = [np.frombuffer(b, np.uint8) for b in f["classes"]]
+            got = [spam_share(x, np.frombuffer(b, np.uint8), n, bits.value, usual, c) for x, b, n in zip(classes, f["lengths"], f["n_signs"], strict=True)]
+            keywords = [float(np.isin(x, (_ID["keyword"], _ID["address"], _ID["tag"])).mean()) if len(x) else 0.0 for x in classes]
+            yield pd.DataFrame({"doc_id": f["doc_id"], "spam_share": [x for x, _ in got], "perplexity": [2.0 ** x for _, x in got], "keyword_share": keywords})
 
-    return seqs.select("doc_id", "classes", "lengths", "cause").mapInPandas(scored, "doc_id long, spam_share double, perplexity double").withColumn("is_spam", F.col("spam_share") > c.most)
+    result = seqs.select("doc_id", "classes", "lengths", "n_signs").mapInPandas(scored, "doc_id long, spam_share double, perplexity double, keyword_share double")
+    return result.withColumn("is_spam", F.col("spam_share") > c.most)
 
 
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,10 +46,19 @@ def test_no_prose_flags_nothing(table):
 
 def test_surprisal_is_a_distribution():
     rng = np.random.default_rng(0)
-    bits = p9.surprisal_table(rng.integers(0, 3, p9.K ** 3)).reshape(p9.K, p9.K, p9.K)
+    bits = p9.surprisal_table(rng.integers(0, 3, p9.K ** 3), 99.0).reshape(p9.K, p9.K, p9.K)
     assert np.allclose((2.0 ** -bits.astype(float)).sum(axis=2), 1, atol=1e-3)
 
 
 def test_long_page():
-    a, b, c = p9.classify("word " * 200_000, p9.SpamConfig())
-    assert len(a) == len(b) == len(c) == 200_000
+    classes, signs, total, prose = p9.classify("word " * 200_000, p9.SpamConfig())
+    assert len(classes) == len(signs) == 200_000 and total == 800_000 and not prose
+
+
+def test_the_model_decides(table):
+    """With a model for which nothing is abnormal no page is spam, however stuffed."""
+    rng = random.Random(2)
+    stuffed = " ".join(rng.choice(["soap", "hats", "boots"]) for _ in range(300))
+    rows = [(1, stuffed, 1, "x")] + [(100 + i, prose(rng, 20), 1, "x") for i in range(60)]
+    assert {r["doc_id"] for r in p9.scores(table(rows, DOCS)).where("is_spam").collect()} == {1}
+    assert p9.scores(table(rows, DOCS), p9.SpamConfig(high=1e9, low=1e9)).where("is_spam").count() == 0
