@@ -39,7 +39,7 @@ class NeighbourConfig:
     margin: float = 0.15         # how much less similar than the nearest a searched shard's centroid may be
     flat: int = 256              # centroids up to which there is one level
     rounds: int = 12             # of the centroids' fitting
-    graph: HNSWConfig = field(default_factory=lambda: HNSWConfig(m=16, ef_construction=48, ef_search=32))
+    graph: HNSWConfig = field(default_factory=lambda: HNSWConfig(m=16, ef_construction=64, ef_search=56))
 
 
 def vectors_of(chunks: DataFrame, references: DataFrame) -> DataFrame:
