@@ -1,13 +1,17 @@
-"""Text expressions: trimming, prefixes, titles, paragraphs, sentences, hard splits, packing."""
+"""Text expressions: trimming, prefixes, titles, paragraphs, sentences; hard splits and packing in Arrow batches."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
-from notelake.functions.text_size import NEWLINE_CLASS, size_of
+from notelake import runtime
+from notelake.functions import packing
+from notelake.functions.text_size import NEWLINE_CLASS
 
 UNTITLED = "無題"
 #: The engine's own sentence rule for packing: up to terminators and the blanks after them.
@@ -53,73 +57,22 @@ def sentences(p: Column) -> Column:
 
 
 def hard_split(t: Column, most: int) -> Column:
-    """Pieces of graphemes, cut before one that would exceed the size; joined they are the text.
-
-    The state keeps counts, so each grapheme is measured once.
-    """
-    cjk = lambda g: F.length(g) - F.length(F.regexp_replace(g, f"[{_cjk()}]", ""))
-    other = lambda g: F.length(F.regexp_replace(g, f"[{_cjk()}\\p{{Zs}}\\t{NEWLINE_CLASS}]", ""))
-    units = F.transform(F.regexp_extract_all(t, F.lit(r"\X"), F.lit(0)), lambda g: F.struct(g.alias("g"), cjk(g).alias("c"), other(g).alias("o")))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("cur"), F.lit(0).alias("c"), F.lit(0).alias("o"))
-
-    def step(s: Column, u: Column) -> Column:
-        grown = s["c"] + u["c"] + F.ceil((s["o"] + u["o"]) / 4)
-        full = (F.size(s["cur"]) > 0) & (grown > most)
-        return F.struct(
-            F.when(full, F.concat(s["done"], F.array(F.array_join(s["cur"], "")))).otherwise(s["done"]).alias("done"),
-            F.when(full, F.array(u["g"])).otherwise(F.concat(s["cur"], F.array(u["g"]))).alias("cur"),
-            F.when(full, u["c"]).otherwise(s["c"] + u["c"]).alias("c"),
-            F.when(full, u["o"]).otherwise(s["o"] + u["o"]).alias("o"),
-        )
-
-    end = lambda s: F.when(F.size(s["cur"]) > 0, F.concat(s["done"], F.array(F.array_join(s["cur"], "")))).otherwise(s["done"])
-    return F.aggregate(units, start, step, end)
-
-
-def _cjk() -> str:
-    from notelake.functions.text_size import cjk_class
-
-    return cjk_class()
-
-
-def units(t: Column, most: int) -> Column:
-    """Paragraphs; the sentences of those too large; the hard pieces of sentences too large."""
-    split_sentence = lambda s: F.when(size_of(s) <= most, F.array(s)).otherwise(hard_split(s, most))
-    split_paragraph = lambda p: F.when(size_of(p) <= most, F.array(p)).otherwise(F.flatten(F.transform(sentences(p), split_sentence)))
-    return F.flatten(F.transform(paragraphs(t), split_paragraph))
-
-
-def pack(u: Column, c: ChunkConfig) -> Column:
-    """Greedy chunks of units up to the target, each begun with the longest tail of the last that fits the overlap."""
-    unit = "array<struct<t:string,n:int>>"
-    sized = F.transform(u, lambda t: F.struct(t.alias("t"), size_of(t).alias("n")))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast(unit).alias("cur"), F.lit(0).alias("tok"))
-    text = lambda cur: F.array_join(F.transform(cur, lambda x: x["t"]), "\n")
-    total = lambda cur: F.aggregate(cur, F.lit(0), lambda a, x: a + x["n"])
-
-    def tail(cur: Column) -> Column:
-        begin = F.struct(F.array().cast(unit).alias("kept"), F.lit(0).alias("n"), F.lit(True).alias("go"))
-        grow = lambda s, x: F.when(
-            s["go"] & (s["n"] + x["n"] <= c.overlap),
-            F.struct(F.concat(F.array(x), s["kept"]).alias("kept"), (s["n"] + x["n"]).alias("n"), F.lit(True).alias("go")),
-        ).otherwise(F.struct(s["kept"].alias("kept"), s["n"].alias("n"), F.lit(False).alias("go")))
-        return F.aggregate(F.reverse(cur), begin, grow, lambda s: s["kept"])
-
-    def step(s: Column, x: Column) -> Column:
-        full = (F.size(s["cur"]) > 0) & (s["tok"] + x["n"] > c.target)
-        # A one-element transform binds the tail, so it is computed once.
-        kept = F.transform(F.array(tail(s["cur"])), lambda o: F.when(total(o) + x["n"] > c.most, F.array().cast(unit)).otherwise(o))[0]
-        opened = F.transform(F.array(F.when(full, kept).otherwise(s["cur"])), lambda o: F.concat(o, F.array(x)))[0]
-        return F.struct(
-            F.when(full, F.concat(s["done"], F.array(text(s["cur"])))).otherwise(s["done"]).alias("done"),
-            opened.alias("cur"),
-            F.when(full, total(opened)).otherwise(s["tok"] + x["n"]).alias("tok"),
-        )
-
-    end = lambda s: F.when(F.size(s["cur"]) > 0, F.concat(s["done"], F.array(text(s["cur"])))).otherwise(s["done"])
-    return F.aggregate(sized, start, step, end)
+    """Pieces of graphemes, cut before one that would exceed the size; joined they are the text. Null for null."""
+    runtime.ship(SparkSession.active())
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def split(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else packing.hard_split(x, most))
+
+    return split(t)
 
 
 def chunk(t: Column, c: ChunkConfig = ChunkConfig()) -> Column:
-    """Chunks of a text; empty for a blank one."""
-    return pack(units(t, c.most), c)
+    """Chunks of a text; empty for a blank one, null for null."""
+    runtime.ship(SparkSession.active())
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def pack(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else packing.chunks(x, c.target, c.most, c.overlap))
+
+    return pack(t)

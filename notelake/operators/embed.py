@@ -18,28 +18,40 @@ Embedder = Callable[[Column], Column]
 # FNV-1a of 64 bits, and the linear congruential step.
 FNV_BASIS, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 LCG_A, LCG_C = 6364136223846793005, 1442695040888963407
-_M64 = (1 << 64) - 1
 
 
-def mock_vector(text: str, dimension: int) -> np.ndarray:
-    """Unit vector that depends on the text's bytes only; all components are non-negative."""
-    seed = FNV_BASIS
-    for byte in text.encode("utf-8"):
-        seed = ((seed ^ byte) * FNV_PRIME) & _M64
-    out = np.empty(dimension, np.float32)
-    state = seed
+def mock_vectors(texts: list[str], dimension: int) -> np.ndarray:
+    """Unit vectors that depend on the texts' bytes only, one byte of all texts at a time; all components are non-negative."""
+    raw = [t.encode("utf-8") for t in texts]
+    order = sorted(range(len(raw)), key=lambda i: -len(raw[i]))
+    seed = np.full(len(raw), FNV_BASIS, np.uint64)
+    lengths = np.array([len(raw[i]) for i in order], np.int64)
+    joined, starts = np.frombuffer(b"".join(raw[i] for i in order), np.uint8), np.cumsum(lengths) - lengths
+    active = len(raw)
+    for j in range(int(lengths.max(initial=0))):
+        while active and lengths[active - 1] <= j:
+            active -= 1
+        seed[:active] = (seed[:active] ^ joined[starts[:active] + j]) * np.uint64(FNV_PRIME)
+    out, state = np.empty((len(raw), dimension), np.float32), seed
     for i in range(dimension):
-        state = (state * LCG_A + LCG_C) & _M64
-        out[i] = np.float32(state >> 33) / np.float32(2 ** 31 - 1)
-    n = np.float32(np.sqrt(float((out.astype(np.float64) ** 2).sum())))
-    return out / n if n > 0 else out
+        state = state * np.uint64(LCG_A) + np.uint64(LCG_C)
+        out[:, i] = (state >> np.uint64(33)).astype(np.float32) / np.float32(2 ** 31 - 1)
+    n = np.sqrt((out.astype(np.float64) ** 2).sum(axis=1)).astype(np.float32)[:, None]
+    back = np.empty_like(out)
+    back[order] = np.divide(out, n, out=out.copy(), where=n > 0)
+    return back
+
+
+def mock_vector(text: str, dimension: int) -> np.ndarray:
+    return mock_vectors([text], dimension)[0]
 
 
 def mock_embedder(dimension: int = 64) -> Embedder:
     @F.pandas_udf(ArrayType(FloatType()))
     def embed(texts: pd.Series) -> pd.Series:
-        done: dict[str, np.ndarray] = {}
-        return texts.map(lambda t: None if t is None else done.setdefault(t, mock_vector(t, dimension)))
+        known = texts.dropna().unique().tolist()
+        done = dict(zip(known, mock_vectors(known, dimension), strict=True))
+        return texts.map(lambda t: None if t is None else done[t])
 
     return embed
 

@@ -20,9 +20,9 @@ _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 @dataclass(frozen=True)
 class HNSWConfig:
-    m: int = 12               # links on upper layers; twice as many on the lowest
-    ef_construction: int = 40
-    ef_search: int = 40
+    m: int = 16               # links on upper layers; twice as many on the lowest
+    ef_construction: int = 64
+    ef_search: int = 64
     at_once: int = 3          # nodes of a beam expanded in one step
     batch: int = 384
     scanned: int = 4096       # nodes up to which an upper layer is scored as a whole
@@ -49,7 +49,7 @@ class HNSW:
         n = len(x)
         rng = np.random.default_rng(config.seed)
         u = rng.random(n)
-        level = np.minimum((-np.log(np.maximum(u, 1e-12)) / np.log(max(config.m, 2))).astype(int), 16)
+        level = np.minimum((-np.log(np.maximum(u, 1e-12)) / np.log(max(config.m, 2))).astype(int), 32)
         # High nodes first; each layer then holds a prefix of the order.
         self.order = np.argsort(-level, kind="stable")
         top = int(level.max(initial=0))

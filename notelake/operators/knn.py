@@ -19,8 +19,8 @@ from notelake.functions.vector import checked, dot, l2_normalize, norm
 from notelake.operators import hnsw_file
 from notelake.operators.hnsw import HNSWConfig
 
-#: An inverted file's query probes one in so many cells, six at least.
-IVF_SHARE = 12
+#: An inverted file's query probes one in so many cells, 16 at least.
+IVF_SHARE = 8
 #: Vectors per bucket of a table of hyperplanes, about.
 LSH_BUCKET = 300
 
@@ -210,7 +210,7 @@ def knn_ivf(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, cell
     n, long_above = vectors.count(), _long_above(vectors)
     cells = cells or max(16, round(n ** 0.5))
     m = fit_cells(vectors.where(norm(F.col("vec")) <= long_above).select("id", l2_normalize(F.col("vec")).alias("vec")), n, cells, dimension)
-    return _best_met(vectors, queries, k, dimension, lambda x, q: ivf_meetings(x, q, m, probes or max(6, len(m) // IVF_SHARE), long_above), block)
+    return _best_met(vectors, queries, k, dimension, lambda x, q: ivf_meetings(x, q, m, probes or max(16, len(m) // IVF_SHARE), long_above), block)
 
 
 def lsh_meetings(x: np.ndarray, q: np.ndarray, planes: np.ndarray, probes: int, long_above: float) -> Met:
@@ -274,7 +274,7 @@ def _best_met(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, me
     return _filled(top_k(found, k, ["query_id"]), vectors, queries, k)
 
 
-def knn_lsh(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, tables: int = 12, bits: int | None = None, seed: int = 23, probes: int | None = None, block: int = 20_000) -> DataFrame:
+def knn_lsh(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, tables: int = 16, bits: int | None = None, seed: int = 23, probes: int | None = None, block: int = 20_000) -> DataFrame:
     """Random hyperplanes: a query meets the vectors of its likeliest buckets in any table, and all long ones.
 
     The bits grow with the logarithm of the number of vectors, so buckets stay as large; the probes grow with the bits.
@@ -292,7 +292,7 @@ def lsh_bits(n: int) -> int:
 
 
 def lsh_probes(bits: int) -> int:
-    return 3 + 3 * (bits - 6)
+    return 6 + 3 * (bits - 6)
 
 
 def knn_hnsw(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, shard_rows: int = 20_000, config: HNSWConfig = HNSWConfig(), block: int = 20_000) -> DataFrame:
@@ -338,6 +338,6 @@ def remove_all(vectors: DataFrame) -> DataFrame:
     return vectors.limit(0)
 
 
-def must_compact(live: int, deleted: int) -> bool:
-    """The policy by which an index with tombstones is rewritten."""
-    return deleted > 64 and 2 * deleted > live
+def must_compact(live, deleted):
+    """The policy by which an index with tombstones is rewritten; of numbers or of columns."""
+    return (deleted > 64) & (2 * deleted > live)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,11 +13,12 @@ from notelake.functions.text_size import CJK_RANGES, size_of
 from notelake.operators import embed, generators, hnsw_file, knn, metrics, rag, search, store
 from notelake.operators.hnsw import HNSWConfig
 from notelake.plans.catalogue import query
-from notelake.runtime import read, ship
+from notelake.runtime import cut, ensure_checkpoint_dir, read, ship
 from notelake.sources import tables
 from notelake.streaming import changes
 
 DIM = 64
+LEAST_AGREEMENT = 0.9
 
 # ---- SQL pieces ----
 
@@ -68,6 +71,40 @@ def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
+_PARAS = f"""paras AS (
+  SELECT note_id, list_filter(list_transform(string_split_regex(content, '[{_NL}]'), lambda p: {_trim('p')}), lambda p: p <> '') AS p FROM latest WHERE content IS NOT NULL)"""
+_SENT = r"[^.!?。！？]*[.!?。！？]+\s*|[^.!?。！？]+$"
+
+# Chunking in SQL: graphemes and units are folded by list_reduce, whose elements are states of the fold.
+
+
+def _hard(t: str) -> str:
+    """Pieces of graphemes of at most 400 by size."""
+    g = f"list_transform(range(1, length_grapheme({t}) + 1), lambda i: substring_grapheme({t}, i, 1))"
+    state = f"""list_transform({g}, lambda g: {{'done': []::VARCHAR[], 'cur': g, 'c': length(g) - length(regexp_replace(g, '[{_CJK}]', '', 'g')),
+      'o': length(regexp_replace(g, '[{_CJK}{_BLANK}]', '', 'g'))}})"""
+    over = "a.c + x.c + (a.o + x.o + 3) // 4 > 400"
+    fold = f"""list_reduce({state}, lambda a, x: CASE WHEN {over} THEN {{'done': list_append(a.done, a.cur), 'cur': x.cur, 'c': x.c, 'o': x.o}}
+      ELSE {{'done': a.done, 'cur': a.cur || x.cur, 'c': a.c + x.c, 'o': a.o + x.o}} END)"""
+    return f"list_transform([{fold}], lambda z: list_append(z.done, z.cur))[1]"
+
+
+_UNITS = f"""large AS (SELECT DISTINCT s FROM (SELECT unnest(flatten(list_transform(list_filter(p, lambda x: {_size('x')} > 400),
+    lambda x: list_filter(list_transform(regexp_extract_all(x, '{_SENT}'), lambda y: {_trim('y')}), lambda y: y <> '')))) AS s FROM paras) WHERE {_size('s')} > 400),
+cut AS (SELECT s, {_hard('s')} AS pieces FROM large),
+line AS (SELECT note_id, unnest(p) AS p, unnest(range(1, len(p) + 1)) AS i FROM paras),
+sent AS (SELECT note_id, i, unnest(CASE WHEN {_size('p')} <= 400 THEN [p] ELSE list_filter(list_transform(regexp_extract_all(p, '{_SENT}'), lambda y: {_trim('y')}), lambda y: y <> '') END) AS s,
+    unnest(range(1, 1 + len(CASE WHEN {_size('p')} <= 400 THEN [p] ELSE list_filter(list_transform(regexp_extract_all(p, '{_SENT}'), lambda y: {_trim('y')}), lambda y: y <> '') END))) AS j FROM line),
+pc AS (SELECT note_id, i, j, unnest(coalesce(pieces, [sent.s])) AS t, unnest(range(1, 1 + len(coalesce(pieces, [sent.s])))) AS k FROM sent LEFT JOIN cut USING (s)),
+un AS (SELECT note_id, list({{'done': []::VARCHAR[], 'cur': [{{'t': t, 'n': {_size('t')}}}], 'tok': {_size('t')}}} ORDER BY i, j, k) AS u FROM pc GROUP BY 1)"""
+_TAIL = """list_filter(list_transform(range(1, len(a.cur) + 2), lambda i: a.cur[i:]), lambda r: coalesce(list_sum(list_transform(r, lambda y: y.n)), 0) <= 50)[1]"""
+_CHUNKED = f"""fold AS (SELECT note_id, list_reduce(u, lambda a, x: CASE WHEN a.tok + x.tok <= 300 THEN {{'done': a.done, 'cur': list_concat(a.cur, x.cur), 'tok': a.tok + x.tok}}
+    ELSE list_transform([CASE WHEN coalesce(list_sum(list_transform({_TAIL}, lambda y: y.n)), 0) + x.tok > 400 THEN x.cur ELSE list_concat({_TAIL}, x.cur) END],
+      lambda w: {{'done': list_append(a.done, array_to_string(list_transform(a.cur, lambda y: y.t), chr(10))), 'cur': w, 'tok': list_sum(list_transform(w, lambda y: y.n))::INT}})[1] END) AS s FROM un),
+chunked AS (SELECT note_id, unnest(c) AS content, unnest(range(0, len(c)))::INT AS chunk_index
+  FROM (SELECT note_id, list_append(s.done, array_to_string(list_transform(s.cur, lambda y: y.t), chr(10))) AS c FROM fold))"""
+_CHUNK_ID = "sha256(note_id || ':' || chunk_index || ':' || content)"
+
 # ---- inputs ----
 
 
@@ -141,16 +178,18 @@ def cascade_delete(spark, d):
     return n.select(F.lit("note").alias("kind"), F.col("note_id").cast("string").alias("id")).unionByName(c.select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id")))
 
 
-@query("reindex_dirty")
+@query("reindex_dirty", _with(_LATEST, _PARAS.replace("FROM latest WHERE", "FROM latest WHERE needs_reindexing AND"), _UNITS, _CHUNKED) + f"""
+SELECT chunk_id, note_id, chunk_index, md5(content) AS content_md5 FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM latest l WHERE l.needs_reindexing AND l.note_id = c.note_id)
+UNION ALL SELECT {_CHUNK_ID}, note_id, chunk_index, md5(content) FROM chunked""")
 def reindex_dirty(spark, d):
-    """Chunks after the flagged notes are chunked anew. Sequential packing: checked against a loop in the tests."""
+    """Chunks after the flagged notes are chunked anew."""
     _, c = store.reindex(_latest(spark, d), read(spark, d, "chunks"))
     return c.select("chunk_id", "note_id", "chunk_index", F.md5("content").alias("content_md5"))
 
 
-@query("chunk_notes")
+@query("chunk_notes", _with(_LATEST, _PARAS, _UNITS, _CHUNKED) + f"SELECT {_CHUNK_ID} AS chunk_id, note_id, chunk_index, length(content)::INT AS n_chars, {_size('content')} AS tokens FROM chunked")
 def chunk_notes(spark, d):
-    """Chunks of all notes by budgeted packing. Checked against a loop in the tests."""
+    """Chunks of all notes by budgeted packing."""
     return store.chunk_notes(_latest(spark, d)).select("chunk_id", "note_id", "chunk_index", F.length("content").alias("n_chars"), size_of(F.col("content")).alias("tokens"))
 
 
@@ -167,18 +206,11 @@ def note_token_estimate(spark, d):
     return _latest(spark, d).select("note_id", size_of(F.col("content")).alias("tokens"))
 
 
-_PARAS = f"""paras AS (
-  SELECT note_id, list_filter(list_transform(string_split_regex(content, '[{_NL}]'), lambda p: {_trim('p')}), lambda p: p <> '') AS p FROM latest WHERE content IS NOT NULL)"""
-
-
 @query("paragraph_units", _with(_LATEST, _PARAS) + "SELECT note_id, (i - 1)::INT AS i, p[i] AS paragraph FROM (SELECT note_id, p, unnest(range(1, len(p) + 1)) AS i FROM paras)")
 def paragraph_units(spark, d):
     return _latest(spark, d).select("note_id", F.posexplode(T.paragraphs(F.col("content"))).alias("i", "paragraph"))
 
 
-_SENT = r"[^.!?。！？]*[.!?。！？]+\s*|[^.!?。！？]+$"
-
-
 @query("sentence_units", _with(_LATEST, _PARAS, f"""s AS (SELECT note_id, list_transform(p, lambda x: list_filter(list_transform(regexp_extract_all(x, '{_SENT}'), lambda y: {_trim('y')}), lambda y: y <> '')) AS s FROM paras)""")
        + "SELECT note_id, len(flatten(s))::INT AS n_sentences, md5(array_to_string(flatten(s), chr(10))) AS sentences_md5 FROM s")
 def sentence_units(spark, d):
@@ -186,9 +218,11 @@ def sentence_units(spark, d):
     return _latest(spark, d).where("content is not null").select("note_id", F.size(s).alias("n_sentences"), F.md5(F.array_join(s, "\n")).alias("sentences_md5"))
 
 
-@query("hard_split")
+@query("hard_split", f"""WITH c AS (SELECT chunk_id, max(content) AS t FROM chunks WHERE content IS NOT NULL GROUP BY 1),
+h AS (SELECT chunk_id, {_hard('t')} AS p FROM c WHERE {_size('t')} > 400),
+f AS (SELECT chunk_id, unnest(range(0, len(p)))::INT AS i, unnest(p) AS piece FROM h) SELECT chunk_id, i, length(piece)::INT AS n_chars, {_size('piece')} AS tokens FROM f""")
 def hard_split(spark, d):
-    """Pieces of every chunk above the limit by graphemes alone. Checked in the tests: joined they are the text."""
+    """Pieces of every chunk above the limit by graphemes alone."""
     c = read(spark, d, "chunks").where("content is not null").groupBy("chunk_id").agg(F.max("content").alias("content")).where(size_of(F.col("content")) > 400)
     return c.select("chunk_id", F.posexplode(T.hard_split(F.col("content"), 400)).alias("i", "piece")).select("chunk_id", "i", F.length("piece").alias("n_chars"), size_of(F.col("piece")).alias("tokens"))
 
@@ -212,11 +246,10 @@ def vector_norms(spark, d):
     return _vectors(spark, d).select("id", F.round(V.norm(F.col("vec")), 6).alias("norm"))
 
 
-@query("l2_normalize", _with(_V) + """, n AS (SELECT id, vec, sqrt(list_inner_product(vec, vec)) AS n FROM v)
-SELECT id, round(CASE WHEN n > 0 THEN vec[1] / n ELSE vec[1] END, 6) AS first, round(CASE WHEN n > 0 THEN vec[64] / n ELSE vec[64] END, 6) AS last FROM n""".replace("\n, n", ", n"))
+@query("l2_normalize", _with(_V) + f""", n AS (SELECT id, vec, sqrt(list_inner_product(vec, vec)) AS n FROM v), u AS (SELECT id, n, unnest(range(0, {DIM}))::INT AS i, unnest(vec) AS x FROM n)
+SELECT id, i, round(CASE WHEN n > 0 THEN x / n ELSE x END, 6) AS x FROM u""".replace("\n, n", ", n"))
 def l2_normalize(spark, d):
-    u = V.l2_normalize(F.col("vec"))
-    return _vectors(spark, d).select("id", F.round(u[0], 6).alias("first"), F.round(u[DIM - 1], 6).alias("last"))
+    return _vectors(spark, d).select("id", F.posexplode(V.l2_normalize(F.col("vec"))).alias("i", "x")).select("id", "i", F.round("x", 6).alias("x"))
 
 
 @query("cosine_pairs", _with(_V) + """SELECT a.id AS id_a, b.id AS id_b, round(CASE WHEN list_inner_product(a.vec, a.vec) > 0 AND list_inner_product(b.vec, b.vec) > 0 THEN
@@ -233,11 +266,12 @@ def cosine_pairs(spark, d):
     return a.join(b, ["note_id", "i"]).select("id_a", "id_b", F.round(V.cosine(F.col("va"), F.col("vb")), 6).alias("cosine"))
 
 
-@query("vector_codec", "SELECT vec_id, 4 * len(embedding)::INT AS n_bytes, true AS same FROM embeddings")
+@query("vector_codec", f"SELECT vec_id, (4 * len(embedding))::INT AS n_bytes, unnest(range(0, len(embedding)))::INT AS i, round(unnest(embedding)::DOUBLE, 7) AS x FROM embeddings")
 def vector_codec(spark, d):
-    """Vectors through bytes and back; the same numbers."""
-    v = read(spark, d, "embeddings").select("vec_id", "embedding", V.to_bytes("embedding").alias("b"))
-    return v.select("vec_id", F.length("b").alias("n_bytes"), (V.from_bytes("b") == F.col("embedding")).alias("same"))
+    """Vectors through bytes and back, number by number."""
+    v = read(spark, d, "embeddings").select("vec_id", V.to_bytes("embedding").alias("b"))
+    out = v.select("vec_id", F.length("b").alias("n_bytes"), F.posexplode(V.from_bytes("b")).alias("i", "x"))
+    return out.select("vec_id", "n_bytes", "i", F.round(F.col("x").cast("double"), 7).alias("x"))
 
 
 @query("index_count", _with(_V) + "SELECT count(*) AS live FROM v")
@@ -248,13 +282,26 @@ def index_count(spark, d):
 _VERSIONS = f"vv AS (SELECT chunk_id AS id, embedding::DOUBLE[] AS vec, chunk_index AS version FROM chunks WHERE chunk_id IS NOT NULL AND {_valid('embedding')})"
 
 
-@query("upsert_latest", _with(_VERSIONS, f"up AS (SELECT * FROM vv UNION ALL SELECT c.id, c.embedding::DOUBLE[], 0 FROM (SELECT unnest(cases) AS c FROM reference_embeddings) WHERE {_valid('c.embedding')})")
-       + "SELECT id, max(version) AS version, round(max(list_sum(vec)), 6) AS total FROM up GROUP BY id")
+@query("upsert_latest", _with(_VERSIONS, """up AS (SELECT * FROM vv UNION ALL SELECT id, list_transform(vec, lambda x: -0.5 * x), version + 1 FROM vv WHERE version % 2 = 1
+  UNION ALL SELECT id, list_transform(vec, lambda x: 2 * x), version - 1 FROM vv WHERE version % 3 = 0)""")
+       + "SELECT id, version::BIGINT AS version, round(list_sum(vec), 6) AS total FROM up QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC, vec DESC) = 1")
 def upsert_latest(spark, d):
-    v = read(spark, d, "chunks").where(F.col("chunk_id").isNotNull() & V.is_valid(F.col("embedding"), DIM)).select(F.col("chunk_id").alias("id"), F.col("embedding").alias("vec"), F.col("chunk_index").alias("version"))
-    new = _cases(spark, d).select(F.col("query_id").alias("id"), F.col("qvec").alias("vec"), F.lit(0).alias("version"))
-    total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return knn.upsert(v, new).select("id", "version", F.round(total, 6).alias("total"))
+    """Later vectors for every second chunk replace theirs, earlier ones for every third don't."""
+    v = read(spark, d, "chunks").where(F.col("chunk_id").isNotNull() & V.is_valid(F.col("embedding"), DIM))
+    v = v.select(F.col("chunk_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), F.col("chunk_index").cast("long").alias("version"))
+    later = v.where("version % 2 = 1").select("id", F.transform("vec", lambda x: -0.5 * x).alias("vec"), (F.col("version") + 1).alias("version"))
+    earlier = v.where("version % 3 = 0").select("id", F.transform("vec", lambda x: 2 * x).alias("vec"), (F.col("version") - 1).alias("version"))
+    total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
+    return knn.upsert(knn.upsert(v, later), earlier).select("id", "version", F.round(total, 6).alias("total"))
+
+
+@query("index_compaction", _with(_V, _LATEST) + """SELECT n_deleted, n_live, n_deleted > 64 AND 2 * n_deleted > n_live AS compact FROM (
+  SELECT count(*) FILTER (l.note_id IS NOT NULL) AS n_deleted, count(*) FILTER (l.note_id IS NULL) AS n_live FROM v LEFT JOIN (SELECT note_id FROM latest WHERE needs_reindexing) l ON l.note_id = v.note_id)""")
+def index_compaction(spark, d):
+    """Whether an index that lost the vectors of all flagged notes is to be rewritten."""
+    stale = _latest(spark, d).where("needs_reindexing").select("note_id", F.lit(True).alias("gone"))
+    n = _vectors(spark, d).join(stale, "note_id", "left").agg(F.count("gone").alias("n_deleted"), F.count(F.when(F.col("gone").isNull(), 1)).alias("n_live"))
+    return n.select("n_deleted", "n_live", knn.must_compact(F.col("n_live"), F.col("n_deleted")).alias("compact"))
 
 
 @query("remove_anti", _with(_V, _LATEST) + "SELECT id FROM v WHERE NOT EXISTS (SELECT 1 FROM latest l WHERE l.note_id = v.note_id AND l.needs_reindexing)")
@@ -304,16 +351,24 @@ def distinct_answers(spark, d):
     return _hits(spark, d, 5).groupBy("query_id").agg(F.size(F.collect_set("note_id")).cast("long").alias("n_notes"))
 
 
-@query("ann_agreement")
+@query("ann_agreement", _with(_V, _Q) + "SELECT strategy, (SELECT count(*) FROM q) AS n_queries, true AS holds FROM (VALUES ('ivf'), ('lsh'), ('hnsw')) s(strategy)")
 def ann_agreement(spark, d):
-    """Mean recall of each approximate strategy, over the inputs its query takes, against the exact answer to what it asks.
+    """Whether the mean recall of each approximate strategy, over the inputs its query takes, is at least 0.9 (LEAST_AGREEMENT).
 
-    That is the k best inner products; knn_hnsw ranks by cosine, so its truth is taken over unit vectors.
+    The truth is the exact answer to what it asks: the k best inner products; for knn_hnsw, which ranks by cosine, over unit vectors.
     """
+    return agreement(spark, d).select("strategy", "n_queries", (F.col("agreement") >= LEAST_AGREEMENT).alias("holds"))
+
+
+def agreement(spark, d):
     v, q = _vectors(spark, d).select("id", "vec"), _cases(spark, d).select("query_id", "qvec")
     unit = knn.knn(v.withColumn("vec", V.l2_normalize(F.col("vec"))), q.withColumn("qvec", V.l2_normalize(F.col("qvec"))), 10, DIM)
-    truth = {"ivf": knn.knn(v, q, 10, DIM), "lsh": knn.knn(v, q, 10, DIM), "hnsw": unit}
-    parts = [metrics.index_recall(t, knn.knn(v, q, 10, DIM, s), 0.0).agg(F.lit(s).alias("strategy"), F.avg("recall").alias("agreement")) for s, t in truth.items()]
+    exact = cut(knn.knn(v, q, 10, DIM))
+    truth = {"ivf": exact, "lsh": exact, "hnsw": unit}
+    parts = [
+        metrics.index_recall(t, knn.knn(v, q, 10, DIM, s), 0.0).agg(F.lit(s).alias("strategy"), F.count("*").alias("n_queries"), F.avg("recall").alias("agreement"))
+        for s, t in truth.items()
+    ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -334,12 +389,21 @@ def index_stats(spark, d):
 # ---- embedding ----
 
 
-@query("mock_embed")
+_BYTES = "list_transform(range(1, octet_length({b}) + 1), lambda i: ('0x' || substr(hex({b}), 2 * i - 1, 2))::UTINYINT::UHUGEINT)"
+_M64 = "18446744073709551616::UHUGEINT"
+
+
+@query("mock_embed", _with(_LATEST) + f""", p AS (SELECT note_id, {_BYTES.format(b="encode('passage: ' || content)")} AS b FROM latest WHERE content IS NOT NULL),
+seed AS (SELECT note_id, list_reduce(list_prepend({embed.FNV_BASIS}::UHUGEINT, b), lambda h, x: xor(h, x) * {embed.FNV_PRIME}::UHUGEINT % {_M64}) AS s FROM p),
+st AS (SELECT note_id, list_reduce(list_transform(range(0, {DIM + 1}), lambda i: [s]), lambda a, x: list_append(a, (a[-1] * {embed.LCG_A}::UHUGEINT + {embed.LCG_C}::UHUGEINT) % {_M64})) AS l FROM seed),
+f AS (SELECT note_id, list_transform(l[2:], lambda x: ((x // 8589934592::UHUGEINT)::BIGINT::FLOAT / 2147483647::FLOAT)::FLOAT) AS v FROM st),
+n AS (SELECT note_id, v, sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE)))::FLOAT AS n FROM f)
+SELECT note_id, unnest(range(0, {DIM}))::INT AS i, round((unnest(v) / n)::FLOAT::DOUBLE, 5) AS x FROM n""".replace("\n, p", ", p"))
 def mock_embed(spark, d):
-    """The deterministic stand-in over all notes; constants are checked in the tests."""
+    """The deterministic stand-in over all notes, number by number."""
     ship(spark)
     e = embed.embed_texts(_latest(spark, d).where("content is not null").select("note_id", "content"), "content", "passage", embed.mock_embedder(DIM))
-    return e.select("note_id", F.round(V.norm(F.col("vec")), 4).alias("norm"), F.round(F.col("vec")[0], 6).alias("first"))
+    return e.select("note_id", F.posexplode("vec").alias("i", "x")).select("note_id", "i", F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
 @query("pending_embeddings", "SELECT chunk_id, note_id, chunk_index FROM chunks WHERE embedding IS NULL")
@@ -359,23 +423,81 @@ def fixed_vectors(spark, d):
     return e.select("query_id", (F.size("vec") == 1).alias("fixed"))
 
 
-@query("truncate_tokens", """SELECT c.id AS id, len(c.token_ids)::INT AS n_tokens, (CASE WHEN len(c.token_ids) > 8 THEN 8 ELSE len(c.token_ids) END)::INT AS n_kept, c.token_ids[-1] AS last_token
-FROM (SELECT unnest(cases) AS c FROM reference_embeddings)""")
+@query("truncate_tokens", """SELECT c.id AS id, len(c.token_ids)::INT AS n_tokens, least(len(c.token_ids), 8)::INT AS n_kept, least(len(c.token_ids), 512)::INT AS n_kept_512,
+  CASE WHEN len(c.token_ids) > 8 THEN list_concat(c.token_ids[1:7], [c.token_ids[-1]]) ELSE c.token_ids END::VARCHAR AS kept FROM (SELECT unnest(cases) AS c FROM reference_embeddings)""")
 def truncate_tokens(spark, d):
     c = tables.reference_cases(read(spark, d, "reference_embeddings"))
     kept = embed.truncate_tokens(F.col("token_ids"), 8)
-    return c.select("id", F.when(F.col("token_ids").isNotNull(), F.size("token_ids")).alias("n_tokens"), F.when(F.col("token_ids").isNotNull(), F.size(kept)).alias("n_kept"), F.try_element_at(kept, F.lit(-1)).alias("last_token"))
+    has = F.col("token_ids").isNotNull()
+    return c.select(
+        "id", F.when(has, F.size("token_ids")).alias("n_tokens"), F.when(has, F.size(kept)).alias("n_kept"), F.when(has, F.size(embed.truncate_tokens(F.col("token_ids")))).alias("n_kept_512"),
+        F.when(has, F.concat(F.lit("["), F.array_join(kept.cast("array<string>"), ", "), F.lit("]"))).alias("kept"),
+    )
 
 
-@query("mean_pool_notes", _with(_V) + f""", d AS (SELECT note_id, unnest(range(1, {DIM + 1})) AS i, unnest(vec) AS x FROM v WHERE note_id IS NOT NULL),
+@query("mean_pool_notes", _with(_V) + f""", d AS (SELECT note_id, unnest(range(0, {DIM}))::INT AS i, unnest(vec) AS x FROM v WHERE note_id IS NOT NULL),
 m AS (SELECT note_id, i, avg(x) AS x FROM d GROUP BY ALL), n AS (SELECT note_id, sqrt(sum(x * x)) AS n FROM m GROUP BY 1)
-SELECT note_id, round(CASE WHEN n > 0 THEN x / n ELSE x END, 6) AS first FROM m JOIN n USING (note_id) WHERE i = 1""")
+SELECT note_id, i, round(CASE WHEN n > 0 THEN x / n ELSE x END, 6) AS x FROM m JOIN n USING (note_id)""")
 def mean_pool_notes(spark, d):
     """A vector per note: the pooled vectors of its chunks. Partial sums per dimension, so no note's chunks are gathered."""
     v = _vectors(spark, d).where("note_id is not null").select("note_id", *[F.col("vec")[i].cast("double").alias(f"d{i}") for i in range(DIM)])
     m = v.groupBy("note_id").agg(*[F.avg(f"d{i}").alias(f"d{i}") for i in range(DIM)])
-    n = F.sqrt(sum((F.col(f"d{i}") * F.col(f"d{i}") for i in range(DIM)), F.lit(0.0)))
-    return m.select("note_id", F.round(F.when(n > 0, F.col("d0") / n).otherwise(F.col("d0")), 6).alias("first"))
+    pooled = V.l2_normalize(F.array(*[F.col(f"d{i}") for i in range(DIM)]))
+    return m.select("note_id", F.posexplode(pooled).alias("i", "x")).select("note_id", "i", F.round("x", 6).alias("x"))
+
+
+_TOKENS = """tok AS (SELECT c.id AS id, list_transform(c.token_ids, lambda t: list_transform(range(1, 9), lambda j: (t * j % 97) / 97.0 - 0.5)) AS vecs, list_transform(c.token_ids, lambda t: CASE WHEN t % 5 = 0 THEN 0.0 ELSE 1.0 END) AS mask
+  FROM (SELECT unnest(cases) AS c FROM reference_embeddings) WHERE len(c.token_ids) > 0)"""
+
+
+@query("masked_mean_pool", _with(_TOKENS) + """, m AS (SELECT id, j, sum(x[j] * w) / greatest(sum(w), 1e-9) AS m FROM (SELECT id, unnest(vecs) AS x, unnest(mask) AS w FROM tok), range(1, 9) r(j) GROUP BY ALL),
+n AS (SELECT id, sqrt(sum(m * m)) AS n FROM m GROUP BY 1) SELECT id, (j - 1)::INT AS i, round(CASE WHEN n > 0 THEN m / n ELSE m END, 6) AS x FROM m JOIN n USING (id)""".replace("\n, m", ", m"))
+def masked_mean_pool(spark, d):
+    """Token vectors (stand-ins, made from the token ids) of every case, pooled by a mask that leaves out ids divisible by 5."""
+    c = tables.reference_cases(read(spark, d, "reference_embeddings")).where(F.size("token_ids") > 0)
+    vecs = F.transform("token_ids", lambda t: F.array(*[(t * j % 97) / F.lit(97.0) - F.lit(0.5) for j in range(1, 9)]))
+    mask = F.transform("token_ids", lambda t: F.when(t % 5 == 0, F.lit(0.0)).otherwise(F.lit(1.0)))
+    return c.select("id", F.posexplode(embed.mean_pool(vecs, mask)).alias("i", "x")).select("id", "i", F.round("x", 6).alias("x"))
+
+
+@query("embedder_comparison", f"""WITH p AS (SELECT bits, a, list_transform(a, lambda x: floor(x * bits + 0.5) / bits) AS b FROM (SELECT c.embedding::DOUBLE[] AS a FROM (SELECT unnest(cases) AS c FROM reference_embeddings) WHERE {_valid('c.embedding')}), (VALUES (127.0), (7.0)) t(bits)),
+c AS (SELECT bits, list_inner_product(a, b) / nullif(sqrt(list_inner_product(a, a)) * sqrt(list_inner_product(b, b)), 0) AS cosine FROM p)
+SELECT bits::INT AS levels, count(cosine) AS n, round(min(cosine), 6) AS min_cosine, min(cosine) > 0.999 AS passed FROM c GROUP BY 1""")
+def embedder_comparison(spark, d):
+    """Reference vectors against themselves in fewer levels, by the rule of 0.999: fine levels pass, coarse ones don't."""
+    c = _cases(spark, d).select(F.col("qvec").cast("array<double>").alias("a"))
+    parts = []
+    for levels in (127, 7):
+        k = F.lit(float(levels))
+        coarse = c.select("a", F.transform("a", lambda x: F.floor(x * k + 0.5) / k).alias("b"))  # noqa: B023
+        parts.append(embed.compare_embedders(coarse, "a", "b").select(F.lit(levels).alias("levels"), "n", F.round("min_cosine", 6).alias("min_cosine"), "passed"))
+    return parts[0].unionByName(parts[1])
+
+
+@query("json_reference", """SELECT model_id, c.id AS id, md5(c.text) AS text_md5, len(c.token_ids)::INT AS n_tokens, round(list_sum(list_transform(c.embedding, lambda x: round(x::DOUBLE, 6))), 4) AS total
+FROM (SELECT model_id, unnest(cases) AS c FROM reference_embeddings)""")
+def json_reference(spark, d):
+    """The reference vectors written as JSON to the shared folder, rounded to six places, and read back by their schema."""
+    path = _shared(spark, "json_reference")
+    tables.write_reference(read(spark, d, "reference_embeddings"), path)
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.round(x.cast("double"), 6))
+    return tables.reference_cases(tables.read_reference(spark, path, lines=True)).select(
+        "model_id", "id", F.md5("text").alias("text_md5"), F.when(F.col("token_ids").isNotNull(), F.size("token_ids")).alias("n_tokens"), F.round(total, 4).alias("total"),
+    )
+
+
+@query("json_eval_set", "SELECT q.id AS query_id, e.key AS note_id, e.value AS grade FROM (SELECT q, unnest(map_entries(q.relevant)) AS e FROM (SELECT unnest(queries) AS q FROM eval_set))")
+def json_eval_set(spark, d):
+    """The labelled set written as JSON and read back by its schema: one row per label."""
+    path = _shared(spark, "json_eval_set")
+    read(spark, d, "eval_set").write.json(path)
+    return tables.qrels(tables.read_eval_set(spark, path))
+
+
+def _shared(spark, name: str) -> str:
+    """A new folder in the shared one."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
 @query("reference_check", f"""SELECT model_id, len(cases) AS n_cases, len(list_filter(cases, lambda c: c.embedding IS NULL)) AS n_missing,
@@ -494,7 +616,7 @@ def lexical_ranking(spark, d):
     q = tables.eval_queries(e).select("query_id", _grams(F.col("text")).alias("h"))
     s = F.round(F.size(F.array_intersect("h", "g")) / F.sqrt(F.size("g") + F.lit(1.0)), 12)
     scored = n.crossJoin(F.broadcast(q)).select("query_id", "note_id", s.alias("score"))
-    return knn.top_k(scored, 1_000_000, ["query_id"], "note_id").select("query_id", "note_id", "rank"), tables.eval_queries(e), tables.qrels(e)
+    return knn.top_k(scored, 2 ** 31 - 1, ["query_id"], "note_id").select("query_id", "note_id", "rank"), tables.eval_queries(e), tables.qrels(e)
 
 
 @query("recall_at_10", "WITH " + _EVAL + " SELECT query_id, round(recall::DOUBLE, 6) AS recall FROM per")
@@ -526,9 +648,9 @@ def retrieval_failures(spark, d):
 # ---- generators and the stream extension ----
 
 
-@query("generated_vectors")
+@query("generated_vectors", """SELECT kind, id, 1.0::DOUBLE AS norm FROM (VALUES ('uniform'), ('clustered')) k(kind), range(2000) r(id)""")
 def generated_vectors(spark, d):
-    """Norms of seeded uniform and clustered vectors."""
+    """Norms of seeded uniform and clustered vectors; reads no table."""
     u = generators.uniform_vectors(spark, 2000, DIM).select(F.lit("uniform").alias("kind"), "id", F.round(V.norm(F.col("vec")), 5).alias("norm"))
     return u.unionByName(generators.clustered_vectors(spark, 2000, DIM).select(F.lit("clustered").alias("kind"), "id", F.round(V.norm(F.col("vec")), 5).alias("norm")))
 

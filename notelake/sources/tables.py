@@ -19,8 +19,9 @@ def read_eval_set(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.EVAL_SET).option("mode", "FAILFAST").json(path, multiLine=True)
 
 
-def read_reference(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.REFERENCE).option("mode", "FAILFAST").json(path, multiLine=True)
+def read_reference(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A document per file, or with lines one per line, as write_reference() leaves them."""
+    return spark.read.schema(schemas.REFERENCE).option("mode", "FAILFAST").json(path, multiLine=not lines)
 
 
 def write_reference(reference: DataFrame, path: str) -> None:
