@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notelake import runtime
+from notelake.llm import shingles
 from notelake.operators import knn, metrics
 from notelake.operators.hnsw import HNSW, HNSWConfig
 
@@ -63,10 +64,9 @@ def usable(column: pa.ListArray, d: int) -> tuple[np.ndarray, np.ndarray]:
 def class_of(x: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each vector's bits."""
     words = np.ascontiguousarray(x).view("<u4").astype(np.uint64)
-    h = np.full(len(x), 0x9E3779B97F4A7C15, np.uint64)
+    h = np.full(len(x), shingles.PRIME, np.uint64)
     for j in range(words.shape[1]):
-        h = (h ^ words[:, j]) * np.uint64(0xFF51AFD7ED558CCD)
-        h ^= h >> np.uint64(32)
+        h = shingles.mix(h ^ words[:, j])
     return h.view(np.int64)
 
 
@@ -167,7 +167,7 @@ def class_neighbours(classes: DataFrame, c: NeighbourConfig = NeighbourConfig())
             if not b.num_rows:
                 continue
             near, searched = cells.nearest(_matrix(b.column("vec").to_pylist(), d))
-            h = (b.column("cls").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            h = (b.column("cls").to_numpy().astype(np.uint64) * shingles.PRIME) >> np.uint64(33)
             row, probe = np.nonzero(searched)
             cell = near[row, probe]
             # Every (part, block) of each near cell; of these only the ones that a member or query belongs to are sent.

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
+# The odd fraction of the golden ratio, and shifts and multipliers of a published 64-bit finaliser.
 PRIME = np.uint64(0x9E3779B97F4A7C15)
+FINALISER = ((30, np.uint64(0xBF58476D1CE4E5B9)), (27, np.uint64(0x94D049BB133111EB)), (31, None))
 
 
 def code_points(text: str) -> np.ndarray:
@@ -12,12 +14,12 @@ def code_points(text: str) -> np.ndarray:
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """64-bit finaliser (public splitmix constants)."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    """Scatters 64-bit numbers over all their bits."""
+    for shift, factor in FINALISER:
+        x = x ^ (x >> np.uint64(shift))
+        if factor is not None:
+            x = x * factor
+    return x
 
 
 def window_hashes(cps: np.ndarray, width: int) -> np.ndarray:
