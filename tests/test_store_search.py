@@ -3,8 +3,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from notelake import runtime
 from notelake.operators import rag, search, store
-from notelake.sources import tables
+from notelake.sources import schemas, tables
 from notelake.streaming import changes
 
 T0 = dt.datetime(2024, 1, 1)
@@ -118,3 +119,24 @@ def test_stream_of_changes(spark, tmp_path):
     tables.memory_notes(spark, [(1, "a", "newer", T0, dt.datetime(2025, 1, 1), True)]).coalesce(1).write.mode("append").parquet(src)
     changes.run_available(changes.read_changes(spark, src, 10), dst, str(tmp_path / "cp"))
     assert {(r["note_id"], r["content"]) for r in spark.read.parquet(f"{dst}/v=1").collect()} == {(1, "newer"), (2, "y")}
+
+
+def test_json_sink_and_source(spark, tmp_path):
+    rows = [("m", 2, True, "t", (0.9, None, "cpu"), [("a", "x", [1], [0.12345678, 1.0]), ("b", None, None, None)]), ("n", 2, None, None, None, [])]
+    r = spark.createDataFrame(rows, schemas.REFERENCE)
+    tables.write_reference(r, str(tmp_path / "out"))
+    back = tables.read_reference(spark, str(tmp_path / "out"), lines=True)
+    got = {x["id"]: x for x in tables.reference_cases(back).collect()}
+    assert abs(got["a"]["embedding"][0] - 0.123457) < 1e-7 and got["b"]["embedding"] is None and back.count() == 2
+
+
+def test_widths_follow_the_size(spark):
+    small = spark.range(10)
+    assert runtime.width_for(small) == runtime.slots(spark)
+    assert runtime.width_for(small, each=16) == 5 and runtime.spread(small).rdd.getNumPartitions() == runtime.slots(spark)
+
+
+def test_a_cut_table_keeps_rows_and_schema(spark):
+    df = spark.createDataFrame([(1, [1.0], None), (None, None, "x")], "a long, b array<double>, c string")
+    back = runtime.cut(df)
+    assert back.schema == df.schema and sorted(back.collect(), key=str) == sorted(df.collect(), key=str)

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from notelake.functions import packing
 from notelake.functions.text import ChunkConfig, chunk, hard_split, paragraphs, score_text, sentences, title_or_default
 from notelake.functions.text_size import size_of
 
@@ -114,3 +115,25 @@ def test_long_paragraph_is_cut_by_sentences_then_graphemes(spark):
 def test_title_and_score(spark):
     assert [one(spark, t, title_or_default) for t in (None, "", "a")] == ["無題", "無題", "a"]
     assert spark.range(1).select(score_text(F.lit(0.8249))).first()[0] == "0.82"
+
+
+@pytest.mark.parametrize("text", ["Eins. Zwei! 三。四", " x \n\n\t y.\u2028z　", "a\r\nb\x85c", "", "!!! ?", "　字　字 。end"])
+def test_packing_agrees_with_the_expressions(spark, text):
+    assert packing.paragraphs(text) == one(spark, text, paragraphs)
+    assert packing.size(text) == one(spark, text, size_of) == size(text)
+    for p in packing.paragraphs(text):
+        assert packing.sentences(p) == one(spark, p, sentences)
+
+
+def test_packing_is_linear():
+    import time
+
+    began = time.time()
+    long = "\n".join("word " * 5 for _ in range(200_000))
+    assert sum(c.count("word") for c in packing.chunks(long, 300, 400, 0)) == 1_000_000
+    assert "".join(packing.hard_split("字a" * 300_000, 400)) == "字a" * 300_000
+    assert time.time() - began < 60
+
+
+def test_chunks_of_null(spark):
+    assert one(spark, None, chunk) is None and one(spark, None, lambda c: hard_split(c, 5)) is None

@@ -72,6 +72,43 @@ def test_more_queries_than_a_block(spark, three):
     assert {(r["query_id"], r["id"]) for r in rows} == {("q0", "a"), ("q1", "c"), ("q2", "a")}
 
 
+def test_best_of_breaks_ties_by_column():
+    s = np.array([[1.0, 3.0, 3.0, np.nan, 2.0], [0.0, 0.0, 0.0, 0.0, 0.0]])
+    r, j = knn.best_of(s, 2)
+    assert r.tolist() == [0, 0, 1, 1] and j.tolist() == [1, 2, 0, 1]
+    assert [x.tolist() for x in knn.best_of(s, 9)] == [[0] * 5 + [1] * 5, [1, 2, 4, 0, 3, 0, 1, 2, 3, 4]]
+
+
+@pytest.mark.parametrize("strategy", [knn.knn_matrix, knn.knn_ivf, knn.knn_lsh, knn.knn_hnsw])
+def test_any_number_of_queries_in_blocks(spark, strategy):
+    x = vectors(400, 16)
+    v = spark.createDataFrame([(f"v{i:03d}", r.tolist()) for i, r in enumerate(x)], "id string, vec array<float>")
+    got = strategy(v, ask(spark, *x[:30]), 1, 16, block=7).collect()
+    assert {(r["query_id"], r["id"]) for r in got} == {(f"q{i}", f"v{i:03d}") for i in range(30)}
+
+
+def test_a_kept_index_is_searched_and_read(spark):
+    x = vectors(300, 12)
+    v = spark.createDataFrame([(f"id {i}", r.tolist()) for i, r in enumerate(x)] + [("id 0", x[0].tolist())], "id string, vec array<float>")
+    index = hnsw_file.build(v, 120, HNSWConfig(m=4))
+    assert index.count() == 3
+    nodes = hnsw_file.nodes_of(index)
+    assert hnsw_file.stats(nodes).first()["live_count"] == 300 and nodes.agg(F.max("level")).first()[0] >= 1
+    one = index.where("shard = 0").first()
+    again = hnsw_file.load(bytes(one["data"]), HNSWConfig(m=4))
+    q = again.x[:20]
+    assert (again.search(q, 1)[0][:, 0] == np.arange(20)).all()
+    assert hnsw_file.name_of(str(uuid.UUID(int=7))) == str(uuid.UUID(int=7)) and uuid.UUID(hnsw_file.name_of("id 3"))
+
+
+def test_large_layers_are_built_by_search():
+    """Beyond `paired` nodes a layer's candidates come from searching the graph of those before."""
+    x = vectors(1500, 16)
+    ids, _ = HNSW(x, HNSWConfig(m=8, paired=200)).search(x, 5)
+    truth = np.argsort(-(x @ x.T), axis=1)[:, :5]
+    assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(ids, truth, strict=True)]) >= 0.9
+
+
 def test_upsert_and_remove(spark, three):
     v = three.withColumn("version", F.lit(0))
     new = spark.createDataFrame([("a", [0.0, 0.0, 1.0], 1)], "id string, vec array<float>, version int")
@@ -102,6 +139,8 @@ def test_mock_embedding():
     a, b = embed.mock_vector("passage: x", 8), embed.mock_vector("passage: y", 8)
     assert np.array_equal(a, embed.mock_vector("passage: x", 8)) and not np.array_equal(a, b)
     assert abs(np.linalg.norm(a) - 1) < 1e-4 and (a >= 0).all()
+    texts = ["", "x", "字" * 40, "x", "some words"]
+    assert np.array_equal(embed.mock_vectors(texts, 8), np.stack([embed.mock_vector(t, 8) for t in texts]))
     # Empty text: the seed is the FNV basis itself.
     state = (0xCBF29CE484222325 * 6364136223846793005 + 1442695040888963407) % 2 ** 64
     raw = [state >> 33]
