@@ -146,7 +146,7 @@ def _apply(notes: DataFrame, schema: str, rows) -> DataFrame:
             f = f.assign(n=f["content"].str.len()).sort_values("n", kind="stable")
             yield rows(f["note_id"].tolist(), f["content"].tolist(), mentions_of(f["content"].tolist(), tagger))
 
-    return notes.where("content is not null").select("note_id", "content").mapInPandas(run, schema)
+    return runtime.spread(notes.where("content is not null").select("note_id", "content")).mapInPandas(run, schema)
 
 
 def mentions(notes: DataFrame) -> DataFrame:

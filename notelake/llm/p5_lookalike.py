@@ -218,7 +218,7 @@ def canonical_texts(texts: DataFrame) -> DataFrame:
                 "suspects": [[] if x is None else [{"token": t, "skeleton": fold(normalise(t))} for t in suspects(x, y)] for x, y in zip(f["text"], norm, strict=True)],
             })
 
-    base = runtime.cut(texts.select("text_key", "text").mapInPandas(normed, f"text_key {key}, text string, norm string, suspects array<struct<token:string,skeleton:string>>"))
+    base = runtime.cut(runtime.spread(texts.select("text_key", "text")).mapInPandas(normed, f"text_key {key}, text string, norm string, suspects array<struct<token:string,skeleton:string>>"))
     changed = runtime.cut(spellings(base.select("norm", "suspects")).where("token <> spelling"))
     # Tokens of a text that may change: its suspects, and Latin words of which every letter has a look-alike.
     latin = F.regexp_extract_all("norm", F.lit(rf"(?<![\p{{L}}\p{{M}}])([{SHARED}]+)(?![\p{{L}}\p{{M}}])"), F.lit(1))
